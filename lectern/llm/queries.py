@@ -1,0 +1,130 @@
+"""The queries of the training-data operators, and their SQL where SQL can express them on whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import conversations, leakage, shared_spans, splitting
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+# 4. Splitting oversized items at natural boundaries
+
+
+@query(f"SELECT DISTINCT chunk_id FROM chunks WHERE length(trim(content, {_SPACE})) > 2000")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(_table(spark, sf_dir, "chunks"), with_text=False).select("chunk_id").distinct()
+
+
+@query()
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(_table(spark, sf_dir, "chunks"))
+
+
+# 5. Rebuilding conversations from message rows
+
+_COUNTING = f"""
+WITH typed AS (
+  SELECT session_id, id, uuid,
+         CASE WHEN lower(trim(role, {_SPACE})) IN ('user', 'human') THEN 1
+              WHEN lower(trim(role, {_SPACE})) IN ('assistant', 'ai') THEN 2 END AS r,
+         CASE WHEN regexp_matches(trim(timestamp, {_SPACE}), '^\\d{{4}}-\\d{{2}}-\\d{{2}}')
+              THEN epoch_us(TRY_CAST(trim(timestamp, {_SPACE}) AS TIMESTAMPTZ)) END AS at_us,
+         length(trim(content, {_SPACE})) > 0 AS body
+  FROM messages WHERE session_id IS NOT NULL
+), keyed AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id, coalesce(nullif(uuid, ''), 'row ' || id) ORDER BY id) AS nth_uuid FROM typed
+), once AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id, id) AS nth_id FROM keyed WHERE nth_uuid = 1
+), counting AS (
+  SELECT * FROM once WHERE nth_id = 1 AND r IS NOT NULL AND coalesce(body, false)
+), turns AS (
+  SELECT *, lead(r) OVER w AS next_r, row_number() OVER w AS turn FROM counting
+  WINDOW w AS (PARTITION BY session_id ORDER BY at_us NULLS FIRST, id)
+), kept AS (
+  SELECT session_id, count(*) AS n_turns FROM turns GROUP BY session_id
+  HAVING count(*) FILTER (WHERE at_us IS NULL) = 0 AND count(*) FILTER (WHERE turn = 1 AND r = 2) = 0
+     AND count(*) FILTER (WHERE r = 1 AND coalesce(next_r, 0) <> 2) = 0
+)
+"""
+
+
+@query(
+    _COUNTING
+    + """
+SELECT session_id FROM (SELECT session_id FROM messages UNION SELECT session_id FROM sessions)
+WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT session_id FROM kept)
+"""
+)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.dropped_sessions(_table(spark, sf_dir, "messages"), _table(spark, sf_dir, "sessions"))
+
+
+@query(
+    _COUNTING
+    + """
+SELECT session_id, turn AS turn, CASE r WHEN 1 THEN 'user' ELSE 'assistant' END AS role, id, n_turns
+FROM turns JOIN kept USING (session_id)
+"""
+)
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversations(_table(spark, sf_dir, "messages")).select("session_id", "turn", "role", "id", "n_turns")
+
+
+# 7. Evaluation texts leaking into training text
+
+_GRAMS = """
+WITH w AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM benchmark WHERE text IS NOT NULL
+), grams AS (
+  SELECT DISTINCT kind, id, array_to_string(words[i:i + 12], ' ') AS gram
+  FROM (SELECT kind, id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)
+)
+"""
+
+
+@query(_GRAMS + "SELECT DISTINCT d.id AS doc_id, b.id AS item_id FROM grams d JOIN grams b ON d.gram = b.gram AND d.kind = 0 AND b.kind = 1")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id").distinct()
+
+
+@query()
+def p7_decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# 8. Long exact spans shared between records
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_pairs(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def p8_shared_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_lengths(_table(spark, sf_dir, "documents"))
