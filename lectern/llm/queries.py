@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import conversations, leakage, shared_spans, splitting
+from lectern.llm import conversations, cooccurrence, knn_graph, leakage, near_duplicates, packing, shared_spans, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,99 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p8_shared_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_lengths(_table(spark, sf_dir, "documents"))
+
+
+# 1. Items that appear together
+
+_NOTES = """
+WITH e AS (
+  SELECT DISTINCT note_path, lower(trim(entity)) AS entity
+  FROM (SELECT note_path, subject AS entity FROM triples UNION ALL SELECT note_path, object FROM triples)
+  WHERE note_path IS NOT NULL AND length(trim(entity)) > 0
+), m AS (SELECT entity, count(*) AS n FROM e GROUP BY entity),
+t AS (SELECT count(DISTINCT note_path) AS n FROM e),
+p AS (
+  SELECT x.entity AS entity_a, y.entity AS entity_b, count(*) AS weight
+  FROM e x JOIN e y ON x.note_path = y.note_path AND x.entity < y.entity GROUP BY ALL
+), s AS (
+  SELECT entity_a, entity_b, weight, a.n AS n_a, b.n AS n_b, t.n AS n
+  FROM p JOIN m a ON a.entity = entity_a JOIN m b ON b.entity = entity_b CROSS JOIN t
+)
+"""
+
+
+@query(_NOTES + "SELECT entity_a, entity_b FROM s WHERE weight >= 3 AND weight * n >= 5 * n_a * n_b")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccurrence.entity_pairs(_table(spark, sf_dir, "triples"), 3, 5.0).select("entity_a", "entity_b")
+
+
+_WEIGHTS = _NOTES + "SELECT entity_a, entity_b, weight, round(weight * n::DOUBLE / (n_a::DOUBLE * n_b), 6) AS ratio FROM s"
+
+
+@query(_WEIGHTS)
+def p1_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cooccurrence.entity_pairs(_table(spark, sf_dir, "triples"))
+    return pairs.withColumn("ratio", F.round("ratio", 6))
+
+
+@query(_WEIGHTS)
+def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table, reached by a first load of the older rows and an update of the notes with later ones."""
+    triples = _table(spark, sf_dir, "triples")
+    late = F.col("updated_at") >= F.lit("2026-01-01").cast("timestamp_ntz")
+    index = cooccurrence.PairIndex(spark)
+    index.update(cooccurrence.note_entities(triples.where(~late | F.col("updated_at").isNull())))
+    changed = cooccurrence.note_entities(triples).join(triples.where(late).select(F.col("note_path").alias("basket")).distinct(), "basket", "left_semi")
+    index.update(changed)
+    return index.scores().select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"), F.col("n").alias("weight"), F.round("ratio", 6).alias("ratio"))
+
+
+# 2. Most similar vectors for every vector
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = knn_graph.similar_pairs(_table(spark, sf_dir, "chunks"), "chunk_id", "embedding", 0.92)
+    return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+@query()
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = knn_graph.build_graph(_table(spark, sf_dir, "chunks"), "chunk_id", "embedding")
+    return graph.neighbours(10).select(F.col("id").alias("chunk_id"), "neighbour", F.round(F.col("sim").cast("double"), 2).alias("similarity"), "rank")
+
+
+# 3. Near-duplicate records with small edits
+
+_SETS = """
+WITH w AS (
+  SELECT DISTINCT memory_id, list_sort(list_distinct(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'))) AS words
+  FROM memories WHERE memory_id IS NOT NULL AND content IS NOT NULL
+), s AS (SELECT memory_id, words FROM w WHERE len(words) >= 6)
+"""
+
+
+@query(
+    _SETS
+    + """
+, k AS (SELECT memory_id, words, unnest(words) AS word FROM s),
+c AS (SELECT x.memory_id AS a, y.memory_id AS b, len(x.words) + len(y.words) AS total, count(*) AS common
+      FROM k x JOIN k y ON x.word = y.word AND x.memory_id < y.memory_id GROUP BY x.memory_id, y.memory_id, x.words, y.words)
+SELECT DISTINCT a AS memory_a, b AS memory_b FROM c WHERE common >= 0.7 * (total - common)
+"""
+)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(_table(spark, sf_dir, "memories"))
+
+
+@query()
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_table(spark, sf_dir, "memories"))
+
+
+# 6. Filling fixed-capacity containers with items
+
+
+@query()
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
