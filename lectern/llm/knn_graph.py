@@ -14,6 +14,7 @@ Hubs are met in random groups of bounded size, never left out.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lectern.session import remove_path, scratch_path
 
-STATE = "block int, ids binary, vec binary, scale binary, nid binary, nblock binary, sim binary"
-FOUND = "block int, v binary, nid binary, nblock binary, sim binary"
+STATE = "block int, ids binary, vec binary, scale binary, nbr binary, sim binary"
+FOUND = "block int, v binary, nbr binary, sim binary"
 
 
 # Vectors
@@ -49,7 +50,8 @@ def prepare(vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
 
     src = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("e")).where(F.col("id").isNotNull() & (F.size("e") == dim))
     src = src.where(~F.exists("e", lambda v: v.isNull()))
-    return src.mapInArrow(run, "id long, vec binary, scale float")
+    rows = src.mapInArrow(run, "id long, vec binary, scale float")
+    return rows.groupBy("id").agg(F.min(F.struct("vec", "scale")).alias("v")).select("id", "v.vec", "v.scale")
 
 
 def _matrix(vec, scale, dim: int) -> np.ndarray:
@@ -113,9 +115,12 @@ class Forest:
         return self.base[t] + self.trees[t].route(x)
 
     def size(self, counts: dict[int, int]) -> None:
+        """Divide the leaves. A reference to a vector is its block * stride + its place there, in 4 bytes where that suffices."""
         for k, n in counts.items():
             self.parts[k] = -(-n // self.cap)
         self.first = np.cumsum(self.parts) - self.parts
+        self.stride = 2 * self.cap
+        self.ref = np.int32 if int(self.parts.sum()) * self.stride < 1 << 31 else np.int64
 
     def groups(self, x: np.ndarray, ids: np.ndarray, t: int) -> np.ndarray:
         leaf = self.leaves(x, t)
@@ -126,24 +131,23 @@ class Forest:
 # Lists of neighbours
 
 
-def best(v: np.ndarray, nid: np.ndarray, nblock: np.ndarray, sim: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k most similar distinct neighbours of 0..n-1, as padded (n, k) arrays; ties by id."""
-    o = np.lexsort((nid, v))
-    v, nid, nblock, sim = v[o], nid[o], nblock[o], sim[o]
+def best(v: np.ndarray, nbr: np.ndarray, sim: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k most similar distinct neighbours of 0..n-1, as padded (n, k) arrays; ties by reference."""
+    o = np.lexsort((-sim, nbr, v))
+    v, nbr, sim = v[o], nbr[o], sim[o]
     if len(v):
-        keep = np.concatenate([[True], (v[1:] != v[:-1]) | (nid[1:] != nid[:-1])])
-        v, nid, nblock, sim = v[keep], nid[keep], nblock[keep], sim[keep]
-    o = np.lexsort((nid, -sim, v))
-    v, nid, nblock, sim = v[o], nid[o], nblock[o], sim[o]
+        keep = np.concatenate([[True], (v[1:] != v[:-1]) | (nbr[1:] != nbr[:-1])])
+        v, nbr, sim = v[keep], nbr[keep], sim[keep]
+    o = np.lexsort((nbr, -sim, v))
+    v, nbr, sim = v[o], nbr[o], sim[o]
     rank = np.arange(len(v)) - np.searchsorted(v, v)
     keep = rank < k
-    out = np.full((n, k), -1, dtype=np.int64), np.full((n, k), -1, dtype=np.int32), np.full((n, k), -2, dtype=np.float32)
-    for a, x in zip(out, (nid, nblock, sim)):
-        a[v[keep], rank[keep]] = x[keep]
-    return out
+    refs, sims = np.full((n, k), -1, dtype=nbr.dtype), np.full((n, k), -2, dtype=np.float32)
+    refs[v[keep], rank[keep]], sims[v[keep], rank[keep]] = nbr[keep], sim[keep]
+    return refs, sims
 
 
-def _dense(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _dense(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, cosine) of the k most similar others within one group."""
     n, k = len(x), min(k, len(x) - 1)
     if k < 1:
@@ -152,13 +156,12 @@ def _dense(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     rows, cols, sims = [], [], []
     for a in range(0, n, 512):
         s = x[a : a + 512] @ x.T
-        s[ids[a : a + 512, None] == ids[None, :]] = -3
+        m = np.arange(len(s))
+        s[m, m + a] = -3
         j = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        q = np.take_along_axis(s, j, 1)
-        i, c = np.nonzero(q > -2.5)
-        rows.append(i + a)
-        cols.append(j[i, c])
-        sims.append(q[i, c])
+        rows.append(np.repeat(m + a, k))
+        cols.append(j.ravel())
+        sims.append(np.take_along_axis(s, j, 1).ravel())
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims).astype(np.float32)
 
 
@@ -183,29 +186,29 @@ def _unpack(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
 
 
-def _ship(found_v: np.ndarray, home: np.ndarray, nid: np.ndarray, nblock: np.ndarray, sim: np.ndarray) -> pa.Table:
-    """Candidates packed by the home block of v."""
-    rows = [(b, found_v[r].tobytes(), nid[r].tobytes(), nblock[r].tobytes(), sim[r].tobytes()) for b, r in _by_block(home)]
+def _ship(v: np.ndarray, nbr: np.ndarray, sim: np.ndarray, forest: Forest) -> pa.Table:
+    """Candidates packed by the home block of v; their cosines in half precision."""
+    rows = [(b, (v[r] - b * forest.stride).astype(np.int16).tobytes(), nbr[r].tobytes(), sim[r].astype(np.float16).tobytes()) for b, r in _by_block(v // forest.stride)]
     return _table(rows, FOUND)
 
 
 # Steps
 
 
-def _home(dim: int, k: int):
+def _home(shared, dim: int, k: int):
     def build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        forest: Forest = shared.value
         ids = t.column("id").to_numpy()
+        if len(ids) > forest.stride:
+            raise ValueError(f"a block has {len(ids)} vectors, more than {forest.stride}")
         raw = np.frombuffer(b"".join(t.column("vec").to_pylist()), dtype=np.int8).reshape(-1, dim)
         scale = t.column("scale").to_numpy().astype(np.float32)
-        o = np.lexsort((*raw.T[::-1], ids))
-        first = np.concatenate([[True], np.diff(ids[o]) != 0])
-        o = o[first]
+        o = np.argsort(ids)
         ids, raw, scale = ids[o], raw[o], scale[o]
         block = key[0].as_py()
-        x = raw.astype(np.float32) * scale[:, None]
-        v, w, s = _dense(x, ids, k)
-        nid, nblock, sim = best(v, ids[w], np.full(len(v), block, dtype=np.int32), s, len(ids), k)
-        return _table([(block, ids.tobytes(), raw.tobytes(), scale.tobytes(), nid.tobytes(), nblock.tobytes(), sim.tobytes())], STATE)
+        v, w, s = _dense(raw.astype(np.float32) * scale[:, None], k)
+        nbr, sim = best(v, (block * forest.stride + w).astype(forest.ref), s, len(ids), k)
+        return _table([(block, ids.tobytes(), raw.tobytes(), scale.tobytes(), nbr.tobytes(), sim.tobytes())], STATE)
 
     return build
 
@@ -214,6 +217,9 @@ def _rows(b: pa.RecordBatch) -> Iterator[dict]:
     yield from b.to_pylist()
 
 
+TREE = "grp int, ref binary, vec binary, scale binary"
+
+
 def _tree_messages(shared, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: Forest = shared.value
@@ -223,87 +229,81 @@ def _tree_messages(shared, dim: int):
                 x = _matrix(r["vec"], r["scale"], dim)
                 raw = np.frombuffer(r["vec"], dtype=np.int8).reshape(-1, dim)
                 scale = np.frombuffer(r["scale"], dtype=np.float32)
+                ref = (r["block"] * forest.stride + np.arange(len(ids))).astype(forest.ref)
                 out = []
                 for t in range(1, len(forest.trees)):
-                    for g, rows in _by_block(forest.groups(x, ids, t)):
-                        out.append((g, r["block"], ids[rows].tobytes(), raw[rows].tobytes(), scale[rows].tobytes()))
-                yield from _table(out, "grp int, block int, ids binary, vec binary, scale binary").to_batches()
+                    out += [(g, ref[rows].tobytes(), raw[rows].tobytes(), scale[rows].tobytes()) for g, rows in _by_block(forest.groups(x, ids, t))]
+                yield from _table(out, TREE).to_batches()
 
     return run
 
 
-def _tree_join(dim: int, k: int):
+def _tree_join(shared, dim: int, k: int):
     def join(t: pa.Table) -> pa.Table:
-        ids = _unpack(t, "ids", np.int64)
-        block = np.repeat(t.column("block").to_numpy(), [len(x) // 8 for x in t.column("ids").to_pylist()]).astype(np.int32)
-        x = _unpack(t, "vec", np.int8).reshape(-1, dim).astype(np.float32) * _unpack(t, "scale", np.float32)[:, None]
-        v, w, s = _dense(x, ids, k)
-        return _ship(ids[v], block[v], ids[w], block[w], s)
+        forest: Forest = shared.value
+        ref = _unpack(t, "ref", forest.ref)
+        v, w, s = _dense(_unpack(t, "vec", np.int8).reshape(-1, dim).astype(np.float32) * _unpack(t, "scale", np.float32)[:, None], k)
+        return _ship(ref[v], ref[w], s, forest)
 
     return join
 
 
-EDGES = "target int, block int, ids binary, vec binary, scale binary, thr binary, u binary, m binary"
+EDGES = "target int, ref binary, vec binary, scale binary, bar binary, u binary, m binary"
 
 
-def _edge_messages(dim: int):
+def _edge_messages(shared, dim: int):
     """Every vector to the blocks of those it lists (and to its own), with the bar that a new neighbour must pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest: Forest = shared.value
         for b in batches:
             for r in _rows(b):
-                ids = np.frombuffer(r["ids"], dtype=np.int64)
-                n = len(ids)
-                nid = np.frombuffer(r["nid"], dtype=np.int64).reshape(n, -1)
-                nblock = np.frombuffer(r["nblock"], dtype=np.int32).reshape(n, -1)
-                bar = np.frombuffer(r["sim"], dtype=np.float32).reshape(n, -1)[:, -1]
+                n = len(r["ids"]) // 8
+                nbr = np.frombuffer(r["nbr"], dtype=forest.ref).reshape(n, -1)
+                bar = np.frombuffer(r["sim"], dtype=np.float32).reshape(n, -1)[:, -1].astype(np.float16)
                 raw = np.frombuffer(r["vec"], dtype=np.int8).reshape(-1, dim)
                 scale = np.frombuffer(r["scale"], dtype=np.float32)
-                src = np.repeat(np.arange(n, dtype=np.int32), nid.shape[1])
-                real = nid.ravel() >= 0
-                real = real | (nblock.ravel() >= 0)
-                u = np.concatenate([nid.ravel()[real], ids])
-                ub = np.concatenate([nblock.ravel()[real], np.full(n, r["block"], dtype=np.int32)])
-                src = np.concatenate([src[real], np.arange(n, dtype=np.int32)])
+                own = np.arange(n)
+                ref = (r["block"] * forest.stride + own).astype(forest.ref)
+                real = nbr.ravel() >= 0
+                u, src = np.concatenate([nbr.ravel()[real], ref]), np.concatenate([np.repeat(own, nbr.shape[1])[real], own])
                 out = []
-                for target, rows in _by_block(ub):
+                for target, rows in _by_block(u // forest.stride):
                     mem, m = np.unique(src[rows], return_inverse=True)
-                    out.append((target, r["block"], ids[mem].tobytes(), raw[mem].tobytes(), scale[mem].tobytes(), bar[mem].tobytes(), u[rows].tobytes(), m.astype(np.int32).tobytes()))
+                    out.append((target, ref[mem].tobytes(), raw[mem].tobytes(), scale[mem].tobytes(), bar[mem].tobytes(), (u[rows] - target * forest.stride).astype(np.int16).tobytes(), m.astype(np.int16).tobytes()))
                 yield from _table(out, EDGES).to_batches()
 
     return run
 
 
-def _edge_join(dim: int, group: int, most: int, k: int, seed: int):
+def _edge_join(shared, dim: int, group: int, most: int, keep_best: int, seed: int):
     """Compare all members that meet at a vector, in random groups; keep what passes a member's bar."""
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        forest: Forest = shared.value
         rng = np.random.default_rng([seed, key[0].as_py()])
-        sizes = [len(x) // 8 for x in t.column("ids").to_pylist()]
-        offset = np.repeat(np.cumsum([0] + sizes[:-1]), [len(x) // 4 for x in t.column("m").to_pylist()])
-        ids = _unpack(t, "ids", np.int64)
-        block = np.repeat(t.column("block").to_numpy(), sizes).astype(np.int32)
+        width_ = np.dtype(forest.ref).itemsize
+        sizes = [len(x) // width_ for x in t.column("ref").to_pylist()]
+        offset = np.repeat(np.cumsum([0] + sizes[:-1]), [len(x) // 2 for x in t.column("m").to_pylist()])
+        ref = _unpack(t, "ref", forest.ref)
         x = _unpack(t, "vec", np.int8).reshape(-1, dim).astype(np.float32) * _unpack(t, "scale", np.float32)[:, None]
-        bar = _unpack(t, "thr", np.float32)
-        u = _unpack(t, "u", np.int64)
-        m = _unpack(t, "m", np.int32) + offset
+        bar = np.concatenate([_unpack(t, "bar", np.float16).astype(np.float32), [np.float32(9)]])
+        u, m = _unpack(t, "u", np.int16), _unpack(t, "m", np.int16) + offset
         o = np.lexsort((rng.random(len(u)), u))
         u, m = u[o], m[o]
         at = np.arange(len(u)) - np.searchsorted(u, u)
         g = np.cumsum(at % group == 0) - 1
         full = np.full((int(g[-1]) + 1 if len(g) else 0, group), -1, dtype=np.int64)
         full[g, at % group] = m
-        # a member once in each group: the lists are sets, so only the vector itself could recur
         cv, cw, cs = [], [], []
-        pad_bar = np.concatenate([bar, [np.float32(9)]])
-        pad_id = np.concatenate([ids, [-1]])
-        most_ = min(most, group - 1)
+        most_, diagonal = min(most, group - 1), np.arange(group)
         for a in range(0, len(full), 1500):
             p = full[a : a + 1500]
             y = x[p]
             d = np.matmul(y, y.transpose(0, 2, 1))
-            d[(pad_id[p][:, :, None] == pad_id[p][:, None, :]) | (p < 0)[:, None, :]] = -3
-            d[d <= pad_bar[p][:, :, None]] = -3
+            d[:, diagonal, diagonal] = -3
+            d[np.broadcast_to((p < 0)[:, None, :], d.shape)] = -3
+            d[d <= bar[p][:, :, None]] = -3
             j = np.argpartition(-d, most_, axis=2)[:, :, :most_]
             q = np.take_along_axis(d, j, 2)
             i0, i1, i2 = np.nonzero(q > -2.5)
@@ -313,30 +313,28 @@ def _edge_join(dim: int, group: int, most: int, k: int, seed: int):
         if not cv:
             return _table([], FOUND)
         v, w, s = np.concatenate(cv), np.concatenate(cw), np.concatenate(cs)
-        both, first = np.unique(v * len(ids) + w, return_index=True)
+        _, first = np.unique(v * len(ref) + w, return_index=True)
         v, w, s = v[first], w[first], s[first]
         o = np.lexsort((-s, v))
         v, w, s = v[o], w[o], s[o]
-        keep = np.arange(len(v)) - np.searchsorted(v, v) < k
-        v, w, s = v[keep], w[keep], s[keep]
-        return _ship(ids[v], block[v], ids[w], block[w], s)
+        keep = np.arange(len(v)) - np.searchsorted(v, v) < keep_best
+        return _ship(ref[v[keep]], ref[w[keep]], s[keep], forest)
 
     return join
 
 
-def _merge(k: int):
+def _merge(shared, k: int):
     def merge(state: pa.Table, found: pa.Table) -> pa.Table:
         if not state.num_rows:
             return _table([], STATE)
+        forest: Forest = shared.value
         r = state.to_pylist()[0]
-        ids = np.frombuffer(r["ids"], dtype=np.int64)
-        n = len(ids)
-        old = np.frombuffer(r["nid"], dtype=np.int64), np.frombuffer(r["nblock"], dtype=np.int32), np.frombuffer(r["sim"], dtype=np.float32)
-        real = old[1] >= 0
-        v = np.concatenate([np.repeat(np.arange(n), len(old[0]) // n)[real], np.searchsorted(ids, _unpack(found, "v", np.int64))])
-        nid, nblock, sim = (np.concatenate([a[real], _unpack(found, c, a.dtype)]) for a, c in zip(old, ("nid", "nblock", "sim")))
-        nid, nblock, sim = best(v, nid, nblock, sim, n, k)
-        return _table([(r["block"], r["ids"], r["vec"], r["scale"], nid.tobytes(), nblock.tobytes(), sim.tobytes())], STATE)
+        n = len(r["ids"]) // 8
+        nbr, sim = np.frombuffer(r["nbr"], dtype=forest.ref), np.frombuffer(r["sim"], dtype=np.float32)
+        real = nbr >= 0
+        v = np.concatenate([np.repeat(np.arange(n), len(nbr) // n)[real], _unpack(found, "v", np.int16)])
+        nbr, sim = best(v, np.concatenate([nbr[real], _unpack(found, "nbr", forest.ref)]), np.concatenate([sim[real], _unpack(found, "sim", np.float16).astype(np.float32)]), n, k)
+        return _table([(r["block"], r["ids"], r["vec"], r["scale"], nbr.tobytes(), sim.tobytes())], STATE)
 
     return merge
 
@@ -344,32 +342,46 @@ def _merge(k: int):
 class KnnGraph:
     """A neighbour graph in the shared folder: state (blocks), the forest that routes queries, and its settings."""
 
-    def __init__(self, state: DataFrame, forest: Forest, dim: int, k: int):
-        self.state, self.forest, self.dim, self.k = state, forest, dim, k
+    def __init__(self, state: DataFrame, shared, dim: int, k: int):
+        self.state, self.shared, self.dim, self.k = state, shared, dim, k
 
-    def neighbours(self, top: int = 10) -> DataFrame:
-        """id, neighbour, sim (approximate cosine), rank from 1."""
+    def names(self) -> DataFrame:
+        """ref, id of every vector."""
+        shared = self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in _rows(b):
                     ids = np.frombuffer(r["ids"], dtype=np.int64)
-                    nid = np.frombuffer(r["nid"], dtype=np.int64).reshape(len(ids), -1)[:, :top]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids)) + r["block"] * shared.value.stride), pa.array(ids)], names=["ref", "id"])
+
+        return self.state.select("block", "ids").mapInArrow(run, "ref long, id long")
+
+    def neighbours(self, top: int = 10, floor: float = -1.0) -> DataFrame:
+        """id, neighbour, sim (approximate cosine), rank from 1; only those of at least `floor`."""
+        shared = self.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in _rows(b):
+                    ids = np.frombuffer(r["ids"], dtype=np.int64)
+                    nbr = np.frombuffer(r["nbr"], dtype=shared.value.ref).reshape(len(ids), -1)[:, :top]
                     sim = np.frombuffer(r["sim"], dtype=np.float32).reshape(len(ids), -1)[:, :top]
-                    i, j = np.nonzero(sim > -1.5)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(nid[i, j]), pa.array(sim[i, j]), pa.array((j + 1).astype(np.int32))], names=["id", "neighbour", "sim", "rank"])
+                    i, j = np.nonzero(sim >= floor)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(nbr[i, j].astype(np.int64)), pa.array(sim[i, j]), pa.array((j + 1).astype(np.int32))], names=["id", "ref", "sim", "rank"])
 
-        return self.state.select("ids", "nid", "sim").mapInArrow(run, "id long, neighbour long, sim float, rank int")
+        near = self.state.select("ids", "nbr", "sim").mapInArrow(run, "id long, ref long, sim float, rank int")
+        return near.join(self.names().withColumnRenamed("id", "neighbour"), "ref").select("id", "neighbour", "sim", "rank")
 
 
 def build_graph(
-    vectors: DataFrame, key: str, column: str, dim: int = 64, k: int = 28, trees: int = 3, leaf: int = 2048, rounds: int = 3, group: int = 48, sample_rows: int = 50_000, seed: int = 7
+    vectors: DataFrame, key: str, column: str, dim: int = 64, k: int = 28, trees: int = 3, leaf: int = 2048, rounds: int = 3, group: int = 48, keep_best: int = 14, sample_rows: int = 50_000, seed: int = 7
 ) -> KnnGraph:
     """The approximate k-nearest-neighbour graph of all usable vectors by NN-descent.
 
     sample_rows bounds the sample on which the trees are fitted; every row is indexed.
     Vectors of another size, null, with null, NaN or infinite numbers, or all zero take no part.
-    Repeated rows count once; an id with several vectors keeps each. An empty table gives an empty graph.
+    Repeated rows count once; of an id's several vectors one is kept, the least as stored. An empty table gives an empty graph.
     """
     spark = vectors.sparkSession
     paths: list[str] = []
@@ -412,29 +424,27 @@ def build_graph(
             yield pa.RecordBatch.from_arrays([pa.array(f.groups(y, b.column("id").to_numpy(), 0)), *b.columns], names=["block", *b.schema.names])
 
     routed = base.mapInArrow(route, "block int, id long, vec binary, scale float")
-    state = store(routed.groupBy("block").applyInArrow(_home(dim, k), STATE), "graph")
-
-    def merged(found: DataFrame) -> DataFrame:
-        nxt = store(state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_merge(k), STATE), "graph")
+    state = store(routed.groupBy("block").applyInArrow(_home(shared, dim, k), STATE), "graph")
+    for i in range(-(trees > 1), rounds):
+        if i < 0:
+            met = state.select("block", "ids", "vec", "scale").mapInArrow(_tree_messages(shared, dim), TREE)
+            found = met.groupBy("grp").applyInArrow(_tree_join(shared, dim, k), FOUND)
+        else:
+            met = state.mapInArrow(_edge_messages(shared, dim), EDGES)
+            found = met.groupBy("target").applyInArrow(_edge_join(shared, dim, group, 12, keep_best, seed + i), FOUND)
+        state = store(state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_merge(shared, k), STATE), "graph")
         for old in paths[:-1]:
             remove_path(spark, old)
-        del paths[:-1]
-        spark._jvm.System.gc()  # lets the context cleaner drop the shuffle files of the round
-        return nxt
-
-    if trees > 1:
-        met = state.select("block", "ids", "vec", "scale").mapInArrow(_tree_messages(shared, dim), "grp int, block int, ids binary, vec binary, scale binary")
-        state = merged(met.groupBy("grp").applyInArrow(_tree_join(dim, k), FOUND))
-    for i in range(rounds):
-        met = state.mapInArrow(_edge_messages(dim), EDGES)
-        state = merged(met.groupBy("target").applyInArrow(_edge_join(dim, group, 12, k, seed + i), FOUND))
-    return KnnGraph(state, forest, dim, k)
+        del paths[:-1], met, found
+        gc.collect()
+        spark._jvm.System.gc()  # with no plan of the round left, the context cleaner drops its shuffle files
+    return KnnGraph(state, shared, dim, k)
 
 
 def similar_pairs(vectors: DataFrame, key: str, column: str, floor: float, top: int = 10, dim: int = 64, **settings) -> DataFrame:
     """a < b: pairs with a cosine of `floor` or more of which one is among the `top` most similar of the other, cosines computed exactly."""
     graph = build_graph(vectors, key, column, dim, **settings)
-    near = graph.neighbours(top).where(F.col("sim") >= floor - 0.01)
+    near = graph.neighbours(top, floor - 0.01)
     pairs = near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).where("a <> b").distinct()
     usable = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("e")).where((F.size("e") == dim))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
