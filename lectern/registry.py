@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +25,19 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from lectern import plans
+
+    for m in pkgutil.iter_modules(plans.__path__):
+        importlib.import_module(f"lectern.plans.{m.name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
