@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import remove_path, scratch_path
+from lectern.session import materialize, remove_path, scratch_path, width
 
 STATE = "block int, ids binary, vec binary, scale binary, nbr binary, sim binary"
 FOUND = "block int, v binary, nbr binary, sim binary"
@@ -441,6 +441,107 @@ def build_graph(
     return KnnGraph(state, shared, dim, k)
 
 
+ASKED = "shard int, id long, vec binary, scale float, refs binary, sims binary, nbrs binary, done binary, seen binary"
+ASK = "block int, shard int, id long, vec binary, scale float, probes binary, bar float"
+REPLY = "shard int, id long, refs binary, sims binary, nbrs binary"
+
+
+def _frontier(r: dict, ref, k: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the best candidates not expanded yet, their neighbours not seen yet)."""
+    done = np.frombuffer(r["done"], dtype=np.int8)
+    places = np.flatnonzero(done == 0)[:expand]
+    near = np.frombuffer(r["nbrs"], dtype=ref).reshape(-1, k)[places].ravel()
+    return places, np.setdiff1d(near[near >= 0], np.frombuffer(r["seen"], dtype=ref))
+
+
+def search(graph: KnnGraph, queries: DataFrame, key: str, column: str, top: int = 10, beam: int = 32, rounds: int = 4, expand: int = 8) -> DataFrame:
+    """id, neighbour, sim (approximate cosine), rank: the `top` most similar indexed vectors of every query but itself.
+
+    Greedy search of the graph, all queries at once: a query starts in the block it would be
+    stored in; in each round the best candidates not yet expanded send it to their
+    neighbours' blocks, which compare it with those neighbours only. Unusable queries have no rows.
+    """
+    spark, shared, dim, k = graph.state.sparkSession, graph.shared, graph.dim, graph.k
+    shards = width(spark)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f: Forest = shared.value
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            y = np.frombuffer(b"".join(b.column("vec").to_pylist()), dtype=np.int8).reshape(-1, dim).astype(np.float32)
+            y *= b.column("scale").to_numpy()[:, None]
+            n = len(ids)
+            shard = pa.array((ids % shards).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(f.groups(y, ids, 0)), shard, *b.columns, pa.array([b""] * n, pa.binary()), pa.array(np.full(n, -2, dtype=np.float32))], names=[c.split()[0] for c in ASK.split(", ")])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f: Forest = shared.value
+        for b in batches:
+            out = []
+            for r in _rows(b):
+                _, new = _frontier(r, f.ref, k, expand)
+                sims = np.frombuffer(r["sims"], dtype=np.float32)
+                bar = float(sims[beam - 1]) if len(sims) >= beam else -2.0
+                out += [(block, r["shard"], r["id"], r["vec"], r["scale"], new[rows].tobytes(), bar) for block, rows in _by_block(new // f.stride)]
+            yield from _table(out, ASK).to_batches()
+
+    def answer(state: pa.Table, asks: pa.Table) -> pa.Table:
+        if not state.num_rows or not asks.num_rows:
+            return _table([], REPLY)
+        f: Forest = shared.value
+        r = state.to_pylist()[0]
+        x = _matrix(r["vec"], r["scale"], dim)
+        nbr = np.frombuffer(r["nbr"], dtype=f.ref).reshape(len(x), -1)
+        out = []
+        for a in asks.to_pylist():
+            q = np.frombuffer(a["vec"], dtype=np.int8).astype(np.float32) * np.float32(a["scale"])
+            at = np.frombuffer(a["probes"], dtype=f.ref).astype(np.int64) - r["block"] * f.stride if a["probes"] else np.arange(len(x))
+            sims = x[at] @ q
+            best_ = np.flatnonzero(sims > a["bar"])
+            best_ = best_[np.argsort(-sims[best_], kind="stable")][:beam]
+            if len(best_):
+                out.append((a["shard"], a["id"], (at[best_] + r["block"] * f.stride).astype(f.ref).tobytes(), sims[best_].astype(np.float32).tobytes(), nbr[at[best_]].tobytes()))
+        return _table(out, REPLY)
+
+    def gather(state: pa.Table, replies: pa.Table) -> pa.Table:
+        f: Forest = shared.value
+        got: dict[int, list[dict]] = {}
+        for a in replies.to_pylist():
+            got.setdefault(a["id"], []).append(a)
+        out = []
+        for r in state.to_pylist():
+            mine = got.get(r["id"], [])
+            done = np.frombuffer(r["done"], dtype=np.int8).copy()
+            places, new = _frontier(r, f.ref, k, expand)
+            done[places] = 1
+            refs = np.concatenate([np.frombuffer(a["refs"], dtype=f.ref) for a in [r, *mine]])
+            sims = np.concatenate([np.frombuffer(a["sims"], dtype=np.float32) for a in [r, *mine]])
+            near = np.concatenate([np.frombuffer(a["nbrs"], dtype=f.ref).reshape(-1, k) for a in [r, *mine]])
+            done = np.concatenate([done, np.zeros(len(refs) - len(done), dtype=np.int8)])
+            o = np.argsort(-sims, kind="stable")[:beam]
+            seen = np.union1d(np.union1d(np.frombuffer(r["seen"], dtype=f.ref), new), refs).astype(f.ref)
+            out.append((r["shard"], r["id"], r["vec"], r["scale"], refs[o].tobytes(), sims[o].tobytes(), near[o].tobytes(), done[o].tobytes(), seen.tobytes()))
+        return _table(out, ASKED)
+
+    asks = materialize(prepare(queries, key, column, dim).mapInArrow(start, ASK), "asks")
+    empty = F.lit(b"")
+    state = asks.select("shard", "id", "vec", "scale", *[empty.alias(c) for c in ("refs", "sims", "nbrs", "done", "seen")])
+    for _ in range(rounds + 1):
+        replies = graph.state.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(answer, REPLY)
+        state = materialize(state.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(gather, ASKED), "asked")
+        asks = state.mapInArrow(ask, ASK)
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f: Forest = shared.value
+        for b in batches:
+            rows = [(r["id"], int(v), float(s)) for r in _rows(b) for v, s in zip(np.frombuffer(r["refs"], dtype=f.ref)[: top + 1], np.frombuffer(r["sims"], dtype=np.float32))]
+            yield from _table(rows, "id long, ref long, sim float").to_batches()
+
+    found = state.mapInArrow(show, "id long, ref long, sim float").join(graph.names().withColumnRenamed("id", "neighbour"), "ref").where("neighbour <> id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
+    return found.select("id", "neighbour", "sim", rank.alias("rank")).where(F.col("rank") <= top)
+
+
 def similar_pairs(vectors: DataFrame, key: str, column: str, floor: float, top: int = 10, dim: int = 64, **settings) -> DataFrame:
     """a < b: pairs with a cosine of `floor` or more of which one is among the `top` most similar of the other, cosines computed exactly."""
     graph = build_graph(vectors, key, column, dim, **settings)

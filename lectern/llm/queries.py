@@ -190,6 +190,15 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(10).select(F.col("id").alias("chunk_id"), "neighbour", F.round(F.col("sim").cast("double"), 2).alias("similarity"), "rank")
 
 
+@query()
+def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy search of the graph: the chunks whose id is divisible by 20 as queries, against all chunks."""
+    chunks = _table(spark, sf_dir, "chunks")
+    graph = knn_graph.build_graph(chunks, "chunk_id", "embedding")
+    found = knn_graph.search(graph, chunks.where("chunk_id % 20 = 0"), "chunk_id", "embedding")
+    return found.select(F.col("id").alias("chunk_id"), "neighbour", F.round(F.col("sim").cast("double"), 2).alias("similarity"), "rank")
+
+
 # 3. Near-duplicate records with small edits
 
 _SETS = """
