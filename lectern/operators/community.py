@@ -123,7 +123,7 @@ def both_ways(s: DataFrame) -> DataFrame:
 def row_topk(s: DataFrame, k: int) -> DataFrame:
     """The k strongest neighbours of each note (ties by path): a, b, value, nth."""
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.round("value", 9).desc(), "b"))
-    return both_ways(s).withColumn("nth", nth).where(F.col("nth") <= k)
+    return both_ways(s).withColumn("nth", nth.cast("long")).where(F.col("nth") <= k)
 
 
 def iterations(n: int) -> int:

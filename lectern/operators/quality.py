@@ -50,7 +50,7 @@ def attribute(uses: DataFrame, searches: DataFrame, window_seconds: int = 1800)
     shown = searches.select("key", "searched_at", F.posexplode("shown").alias("at", "path"), F.floor(us("searched_at") / w).alias("bucket"))
     use = uses.select("key", "path", "used_at").distinct().withColumn("b", F.floor(us("used_at") / w)).withColumn("bucket", F.explode(F.array(F.col("b"), F.col("b") - 1)))
     hits = use.join(shown, ["key", "path", "bucket"]).where((F.col("searched_at") <= F.col("used_at")) & (us("used_at") - us("searched_at") <= w))
-    return hits.groupBy("key", "path", "used_at").agg(F.max(F.struct("searched_at", (-F.col("at")).alias("neg"))).alias("m")).select("key", "path", "used_at", F.col("m.searched_at").alias("searched_at"), (1 - F.col("m.neg")).alias("rank"))
+    return hits.groupBy("key", "path", "used_at").agg(F.max(F.struct("searched_at", (-F.col("at")).alias("neg"))).alias("m")).select("key", "path", "used_at", F.col("m.searched_at").alias("searched_at"), (1 - F.col("m.neg")).cast("long").alias("rank"))
 
 
 def snapshot_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -52,9 +52,12 @@ def link_stage(c: DataFrame, w: Weights) -> DataFrame:
     return c.withColumn("score", F.when(is_link_section(F.col("heading_path"), F.col("content"), w.link_density), F.col("score") * w.link_penalty).otherwise(F.col("score")))
 
 
-def convergence_stage(c: DataFrame, vectors: DataFrame, w: Weights) -> DataFrame:
-    """Blend with the cosine to the note's centroid over 1 + the spread of its chunks' cosines; single-chunk notes stay."""
-    pairs = c.select("query_id", "note_path", "qvec").dropDuplicates(["query_id", "note_path"]).join(vectors.select("note_path", "vec"), "note_path")
+def convergence_stage(c: DataFrame, vectors: DataFrame, w: Weights, keys: DataFrame | None = None) -> DataFrame:
+    """Blend with the cosine to the note's centroid over 1 + the spread of its chunks' cosines; single-chunk notes stay.
+
+    keys: a cheaper table with the candidates' query_id, note_path and qvec, so that earlier stages aren't planned twice.
+    """
+    pairs = (c if keys is None else keys).select("query_id", "note_path", "qvec").dropDuplicates(["query_id", "note_path"]).join(vectors.select("note_path", "vec"), "note_path")
     centroids = vectors.groupBy("note_path").agg(mean_vector(F.col("vec")).alias("centroid"), F.count(F.lit(1)).alias("chunks")).where("chunks >= 2")
     spread = pairs.groupBy("query_id", "note_path").agg(F.stddev_pop(cosine(F.col("qvec"), F.col("vec"))).alias("sigma"))
     out = c.join(centroids, "note_path", "left").join(spread, ["query_id", "note_path"], "left")
@@ -105,13 +108,14 @@ def associated(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     return near.join(entities, ["query_id", "entity"], "left_anti")
 
 
-def cooccurrence_stage(c: DataFrame, queries: DataFrame, triples: DataFrame, pairs: DataFrame, w: Weights) -> DataFrame:
-    """Multiply by 1 + w * raw / (raw + max), raw the summed association of the note's entities."""
+def cooccurrence_stage(c: DataFrame, queries: DataFrame, triples: DataFrame, pairs: DataFrame, w: Weights, keys: DataFrame | None = None) -> DataFrame:
+    """Multiply by 1 + w * raw / (raw + max), raw the summed association of the note's entities. keys: as in convergence_stage."""
+    keys = c if keys is None else keys
     near = associated(query_entities(queries, triples), pairs)
     top = near.groupBy("query_id").agg(F.max("w").alias("top"))
     members = triples.select("note_path", F.col("subject").alias("entity")).union(triples.select("note_path", F.col("object"))).distinct()
-    wanted = members.join(c.select("note_path").distinct(), "note_path", "left_semi")
-    raw = near.join(wanted, "entity").join(c.select("query_id", "note_path").distinct(), ["query_id", "note_path"], "left_semi").groupBy("query_id", "note_path").agg(F.sum("w").alias("raw"))
+    wanted = members.join(keys.select("note_path").distinct(), "note_path", "left_semi")
+    raw = near.join(wanted, "entity").join(keys.select("query_id", "note_path").distinct(), ["query_id", "note_path"], "left_semi").groupBy("query_id", "note_path").agg(F.sum("w").alias("raw"))
     boost = raw.join(top, "query_id").where("raw + top > 0").select("query_id", "note_path", (1 + w.cooccurrence * F.col("raw") / (F.col("raw") + F.col("top"))).alias("boost"))
     return c.join(boost, ["query_id", "note_path"], "left").withColumn("score", F.col("score") * F.coalesce("boost", F.lit(1.0))).drop("boost")
 
@@ -133,33 +137,35 @@ def best_per_note(c: DataFrame, keep: int) -> DataFrame:
 
 
 def inhibition_stage(c: DataFrame, w: Weights) -> DataFrame:
-    """Reduce results similar to a higher one. Depends on the order before only, so one join over at most 3k rows a query does it."""
-    a = c.select("query_id", F.col("place").alias("i"), F.col("vec").alias("x"))
-    b = c.select("query_id", F.col("place").alias("j"), F.col("vec").alias("y"))
-    most = a.join(b, "query_id").where("j < i").groupBy("query_id", F.col("i").alias("place")).agg(F.max(cosine(F.col("x"), F.col("y"))).alias("most"))
+    """Reduce results similar to a higher one. Depends on the order before only; the higher ones are at most 3k rows of the same query, so a frame holds them."""
+    higher = F.collect_list("vec").over(Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    most = F.array_max(F.transform(F.col("higher"), lambda y: cosine(F.col("vec"), y)))
     penalty = F.when(F.col("most") > w.inhibition_threshold, 1 - w.inhibition_strength * F.col("most")).otherwise(1.0)
-    return c.join(most, ["query_id", "place"], "left").withColumn("score", F.col("score") * penalty).drop("most")
+    return c.withColumn("higher", higher).withColumn("most", most).withColumn("score", F.col("score") * penalty).drop("most", "higher")
 
 
 def hybrid(candidates: DataFrame, queries: DataFrame, e: Evidence, w: Weights = Weights(), top_k: int = 5) -> DataFrame:
-    """query_id, chunk_id, note_path, score, place: all stages in order, those named in e.ablate skipped."""
+    """query_id, chunk_id, note_path, score, place: all stages in order, those named in e.ablate skipped.
+
+    The stages look candidates up more than once: give a table that is cheap to read again.
+    """
     c = base_scores(candidates)
     on = lambda name, *needs: name not in e.ablate and all(x is not None for x in needs)
     as_of = F.lit(e.as_of).cast("timestamp_ntz") if e.as_of else None
     if on("link_section"):
         c = link_stage(c, w)
     if on("convergence", e.vectors):
-        c = convergence_stage(c, e.vectors, w)
+        c = convergence_stage(c, e.vectors, w, candidates)
     if on("context", e.direct, e.near):
         c = context_stage(c, e.direct, e.near)
     if on("hotness", e.usage, as_of):
         c = hotness_stage(c, e.usage, as_of, w)
     if on("cooccurrence", e.triples, e.pairs) and w.cooccurrence > 0:
-        c = cooccurrence_stage(c, queries, e.triples, e.pairs, w)
+        c = cooccurrence_stage(c, queries, e.triples, e.pairs, w, candidates)
     if on("prediction_error", e.errors):
         c = error_stage(c, e.errors)
     c = best_per_note(c, 3 * top_k)
     if on("lateral_inhibition"):
         c = inhibition_stage(c, w)
     final = F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score(F.col("place"))))
-    return c.withColumn("final", final).where(F.col("final") <= top_k).select("query_id", "chunk_id", "note_path", "score", F.col("final").alias("place"))
+    return c.withColumn("final", final).where(F.col("final") <= top_k).select("query_id", "chunk_id", "note_path", "score", F.col("final").cast("long").alias("place"))

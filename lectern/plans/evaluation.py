@@ -123,10 +123,11 @@ def brief(spark: SparkSession, d: str) -> DataFrame:
 # Extras beyond the retrieval engine: grouping sets and windows over the event stream, in batch form.
 
 
-@query("SELECT event_type, user_id, grouping(event_type) + 2 * grouping(user_id) AS level, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY CUBE (event_type, user_id)")
+@query("SELECT event_type, coalesce(user_id, -1) AS user_id, grouping(event_type) + 2 * grouping(events.user_id) AS level, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY CUBE (event_type, events.user_id)")
 def events_cube(spark: SparkSession, d: str) -> DataFrame:
     c = t.table(spark, d, "events").cube("event_type", "user_id")
-    return c.agg((F.grouping("event_type") + 2 * F.grouping("user_id")).cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    out = c.agg((F.grouping("event_type") + 2 * F.grouping("user_id")).cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return out.withColumn("user_id", F.coalesce("user_id", F.lit(-1)))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

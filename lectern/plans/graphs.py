@@ -126,13 +126,13 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
     sql(
         """SELECT source_path, target_path, min(link_text) AS link_text FROM (
         SELECT l.note_path AS source_path, l.link_text, coalesce(e.path, s.path) AS target_path
-        FROM (SELECT DISTINCT note_path, object AS link_text FROM v_triples) l
+        FROM (SELECT source_path AS note_path, upper(regexp_extract(target_path, '([^/]+)\\.md$', 1)) AS link_text FROM v_edges) l
         LEFT JOIN (SELECT key, max(path) AS path FROM (SELECT lower(path) AS key, path FROM v_notes UNION ALL SELECT regexp_replace(lower(path), '\\.md$', ''), path FROM v_notes) GROUP BY 1) e ON e.key = lower(trim(l.link_text))
         LEFT JOIN (SELECT regexp_extract(regexp_replace(lower(path), '\\.md$', ''), '([^/]+)$', 1) AS key, min(path) AS path FROM v_notes GROUP BY 1) s ON s.key = regexp_extract(lower(trim(l.link_text)), '([^/]+?)(?:\\.md)?$', 1)
         ) WHERE target_path IS NOT NULL AND target_path <> source_path GROUP BY 1, 2"""
     )
 )
 def link_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Objects of facts resolved as links to notes, by path or stem."""
-    links = t.triples(spark, d).select(F.col("note_path").alias("source_path"), F.col("object").alias("link_text")).distinct()
+    """Links by file name, in other case, resolved to notes by path or stem."""
+    links = t.note_edges(spark, d).select("source_path", F.upper(F.regexp_extract("target_path", r"([^/]+)\.md$", 1)).alias("link_text"))
     return graph.resolve_links(links, t.notes(spark, d).select("path"))

@@ -45,8 +45,8 @@ _PRI = "CASE {}.entity_type WHEN 'bug' THEN 6 WHEN 'decision' THEN 5 WHEN 'conve
         f"""SELECT t.memory_id, CASE WHEN length(s.content) > length(t.content) * 1.2::DOUBLE THEN s.content ELSE t.content END AS content,
         CASE WHEN {_PRI.format('s')} > {_PRI.format('t')} THEN s.entity_type ELSE t.entity_type END AS entity_type,
         coalesce(t.merge_count, 0) + coalesce(s.merge_count, 0) + 1 AS merge_count, list_concat(coalesce(t.merged_from, []), [s.memory_id]) AS merged_from,
-        array_to_string(list_concat(list_distinct_keep(t.tags), list_filter(list_distinct_keep(s.tags), lambda x: NOT coalesce(list_contains(t.tags, x), false))), ',') AS tags
-        FROM paired p JOIN one t ON t.memory_id = target_id JOIN one s ON s.memory_id = source_id""".replace("list_distinct_keep(t.tags)", "coalesce(t.tags, [])").replace("list_distinct_keep(s.tags)", "coalesce(s.tags, [])"),
+        array_to_string(list_sort(list_distinct(list_concat(coalesce(t.tags, []), coalesce(s.tags, [])))), ',') AS tags
+        FROM paired p JOIN one t ON t.memory_id = target_id JOIN one s ON s.memory_id = source_id""",
         one="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY content) AS nth FROM v_memories WHERE content IS NOT NULL) WHERE nth = 1",
         paired=_PAIRED,
     )
@@ -61,7 +61,7 @@ def memory_merge(spark: SparkSession, d: str) -> DataFrame:
     src = one.select(F.col("memory_id").alias("other"), F.struct(*one.columns).alias("s"))
     out = paired.join(one.select("memory_id", F.struct(*one.columns).alias("t")), "memory_id").join(src, "other")
     m = memory.merge()
-    return out.select("memory_id", m["content"].alias("content"), m["entity_type"].alias("entity_type"), m["merge_count"].alias("merge_count"), m["merged_from"].alias("merged_from"), F.array_join(m["tags"], ",").alias("tags"))
+    return out.select("memory_id", m["content"].alias("content"), m["entity_type"].alias("entity_type"), m["merge_count"].alias("merge_count"), m["merged_from"].alias("merged_from"), F.array_join(F.array_sort(m["tags"]), ",").alias("tags"))
 
 
 _EDIT = "SELECT memory_id, CASE WHEN entity_type = 'context' THEN 'observation' ELSE entity_type END AS entity_type, revision_count + (entity_type = 'context')::INT AS revision_count, CASE WHEN entity_type = 'context' THEN NULL ELSE expires_at END AS expires_at FROM v_memories"
@@ -134,23 +134,23 @@ _ORDERED = "SELECT DISTINCT id, session_id, content, timestamp FROM messages WHE
 
 @query(
     f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp NULLS FIRST, id) AS nth FROM ({_ORDERED})),
-    h AS (SELECT id AS hit, session_id, nth FROM o WHERE contains(lower(content), 'deploy archive'))
+    h AS (SELECT id AS hit, session_id, nth FROM o WHERE contains(lower(content), 'archive'))
     SELECT h.hit, o.id, o.nth - h.nth AS off FROM h JOIN o ON o.session_id = h.session_id AND o.nth BETWEEN h.nth - 2 AND h.nth + 2"""
 )
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     """Two messages around every hit of a phrase; the neighbourhood is an equi-join on the numbered positions."""
     m = t.table(spark, d, "messages").select("id", "session_id", "content", "timestamp").where("session_id IS NOT NULL").distinct()
     o = m.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy(F.asc_nulls_first("timestamp"), "id")))
-    hits = o.where(F.contains(F.lower("content"), F.lit("deploy archive"))).select(F.col("id").alias("hit"), "session_id", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("off"), "nth").withColumn("nth", (F.col("nth") + F.col("off")).cast("int"))
-    return hits.join(o.select("session_id", "nth", "id"), ["session_id", "nth"]).select("hit", "id", "off")
+    hits = o.where(F.contains(F.lower("content"), F.lit("archive"))).select(F.col("id").alias("hit"), "session_id", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("off"), "nth").withColumn("nth", (F.col("nth") + F.col("off")).cast("int"))
+    return hits.join(o.select("session_id", "nth", "id"), ["session_id", "nth"]).select("hit", "id", F.col("off").cast("long").alias("off"))
 
 
 # Errors, usage and feedback
 
 
-@query(sql("SELECT note_path, error_type, count(*) AS n, round(avg(cosine_distance), 6) AS avg_distance, max(cosine_distance) AS max_distance, min(detected_at) AS first_seen, max(detected_at) AS last_seen FROM v_errors GROUP BY 1, 2 HAVING count(*) >= 2"))
+@query(sql("SELECT note_path, error_type, count(*) AS n, round(avg(cosine_distance), 8) AS avg_distance, max(cosine_distance) AS max_distance, min(detected_at) AS first_seen, max(detected_at) AS last_seen FROM v_errors GROUP BY 1, 2 HAVING count(*) >= 2"))
 def error_report(spark: SparkSession, d: str) -> DataFrame:
-    return quality.error_report(t.errors(spark, d)).withColumn("avg_distance", F.round("avg_distance", 6))
+    return quality.error_report(t.errors(spark, d)).withColumn("avg_distance", F.round("avg_distance", 8))
 
 
 @query(sql("SELECT error_type, count(*) AS n_notes FROM (SELECT note_path, error_type FROM v_errors GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1"))
@@ -224,9 +224,9 @@ def _uses(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ATTR = {
-    "se": "SELECT user_id AS key, (((props ->> '$.k')::INT + i) % 100)::VARCHAR AS path, i AS at, ts AS searched_at FROM events, range(0, 10) r(i) WHERE event_type = 'view'",
+    "se": "SELECT user_id AS key, (((props ->> '$.k')::INT + i) % 100)::VARCHAR AS path, i AS nth, ts AS searched_at FROM events, range(0, 10) r(i) WHERE event_type = 'view'",
     "us": "SELECT DISTINCT user_id AS key, props ->> '$.k' AS path, ts AS used_at FROM events WHERE event_type IN ('click', 'purchase')",
-    "att": "SELECT key, path, used_at, max(searched_at) AS searched_at, arg_max(at, searched_at) + 1 AS rank FROM us JOIN se USING (key, path) WHERE searched_at <= used_at AND used_at - searched_at <= INTERVAL 24 HOUR GROUP BY 1, 2, 3",
+    "att": "SELECT key, path, used_at, max(searched_at) AS searched_at, arg_max(nth, searched_at) + 1 AS rank FROM us JOIN se USING (key, path) WHERE searched_at <= used_at AND used_at - searched_at <= INTERVAL 24 HOUR GROUP BY 1, 2, 3",
 }
 
 

@@ -9,6 +9,7 @@ from lectern.functions.vectors import cosine, mean_vector
 from lectern.operators import bm25 as text_rank
 from lectern.operators import rank
 from lectern.registry import query
+from lectern.session import materialize
 from lectern.sources import tables as t
 from lectern.sources.tables import sql
 
@@ -25,7 +26,7 @@ def _hits(spark: SparkSession, d: str, limit: int | None = 50, **kw) -> DataFram
 @query(sql("SELECT query_id, doc AS chunk_id, round(rank, 6) AS rank, pos FROM bm", **_BM))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Keyword search: the 50 best chunks of every query."""
-    return _hits(spark, d).select("query_id", F.col("doc").alias("chunk_id"), F.round("rank", 6).alias("rank"), "pos")
+    return _hits(spark, d).select("query_id", F.col("doc").alias("chunk_id"), F.round("rank", 6).alias("rank"), F.col("pos").cast("long").alias("pos"))
 
 
 _SHORT = "SELECT memory_id AS query_id, array_to_string(regexp_extract_all(content, '[\\p{L}\\p{N}]+')[1:3], ' ') AS text FROM v_memories WHERE content IS NOT NULL"
@@ -49,7 +50,7 @@ def bm25_match_all(spark: SparkSession, d: str) -> DataFrame:
 def triple_keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     """Keyword search over facts: the 30 best of every query."""
     hits = text_rank.bm25(t.triples(spark, d), "triple_id", "triple_text", t.questions(spark, d).select("query_id", "text"), 30)
-    return hits.select("query_id", F.col("doc").alias("triple_id"), F.round("rank", 6).alias("rank"), "pos")
+    return hits.select("query_id", F.col("doc").alias("triple_id"), F.round("rank", 6).alias("rank"), F.col("pos").cast("long").alias("pos"))
 
 
 @query(sql("SELECT query_id, doc AS chunk_id, round(rank, 6) AS rank FROM bm JOIN v_chunks ON doc = chunk_id WHERE lower(note_path) LIKE 'work/%'", **_BM))
@@ -217,7 +218,7 @@ _FULL = {**_CAND, **_LINK, **_CONV, **_CTX, **_HOT, **_COOC, **_ERR, **_last("s6
 def hybrid_full(spark: SparkSession, d: str) -> DataFrame:
     """All stages of the hybrid ranker for every query: the 5 best notes."""
     q = t.questions(spark, d)
-    out = rank.hybrid(candidates(spark, d), q.select("query_id", "text"), evidence(spark, d))
+    out = rank.hybrid(materialize(candidates(spark, d), "candidates"), q.select("query_id", "text"), evidence(spark, d))
     return out.select("query_id", "chunk_id", "note_path", F.round("score", 6).alias("score"), "place")
 
 

@@ -33,7 +33,7 @@ def snippet(spark: SparkSession, d: str) -> DataFrame:
 def hard_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts cut every 2,000 characters."""
     docs = t.table(spark, d, "documents").where("length(text) > 0")
-    i = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 2000).cast("int"))).cast("long").alias("piece")
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("text") - 1) / 2000))).alias("piece")
     return docs.select("doc_id", "text", i).select("doc_id", "piece", F.substring("text", (F.col("piece") * 2000 + 1).cast("int"), F.lit(2000)).alias("content"))
 
 
