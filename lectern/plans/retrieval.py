@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.vectors import cosine, mean_vector
 from lectern.operators import bm25 as text_rank
 from lectern.operators import rank
+from lectern.operators.vectors import vector_topk
 from lectern.registry import query
 from lectern.session import materialize
 from lectern.sources import tables as t
@@ -67,11 +68,8 @@ def keyword_workspace(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Vector search: the 50 most similar chunks of every query. The queries, a stated set, meet all rows; each task keeps its best 50."""
-    pairs = t.chunk_vectors(spark, d).crossJoin(t.questions(spark, d).select("query_id", "qvec"))
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("similarity"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
-    return scored.withColumn("nth", nth).where("nth <= 50").drop("nth")
+    """Vector search: the 50 most similar chunks of every query."""
+    return vector_topk(t.chunk_vectors(spark, d), t.questions(spark, d), 50)
 
 
 _CENTROID = "SELECT note_path, list(m ORDER BY i) AS centroid, max(n) AS n_chunks FROM (SELECT note_path, i, avg(vec[i]) AS m, count(*) AS n FROM v_vectors, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1"
