@@ -31,7 +31,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6,
 
 def _scan(vectors: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
     rows = queries.select("query_id", "qvec").collect()
-    q = np.asarray([r["qvec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    q = np.asarray([r["qvec"] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0]["qvec"]) if rows else 1)
     shared = vectors.sparkSession.sparkContext.broadcast((np.asarray([r["query_id"] for r in rows], dtype=np.int64), q, np.linalg.norm(q, axis=1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,7 +62,7 @@ _OUT = ["session", "modified_at", "pos", "role", "text"]
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """session, modified_at, pos, v: the lines of JSON Lines files that can be read, numbered within their file."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select("value", "_metadata.file_name", "_metadata.file_modification_time")
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", "_metadata.file_name", "_metadata.file_modification_time")
     rows = whole.select(F.regexp_replace("file_name", r"\.[^.]+$", "").alias("session"), F.col("file_modification_time").alias("modified_at"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     return rows.withColumn("v", F.try_parse_json("line")).where("v IS NOT NULL").drop("line")
 
@@ -124,7 +124,7 @@ def payload_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def headed_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Markdown in which headings of up to four marks named user or assistant open the turns."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select("value", "_metadata.file_name", "_metadata.file_modification_time")
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", "_metadata.file_name", "_metadata.file_modification_time")
     parts = F.split(F.concat(F.lit("\n"), "value"), r"(?i)\n(?=#{1,4}[ \t]+(?:user|assistant)[ \t]*\r?(?:\n|$))")
     rows = whole.select(F.regexp_replace("file_name", r"\.[^.]+$", "").alias("session"), F.col("file_modification_time").alias("modified_at"), F.posexplode(parts).alias("pos", "part"))
     head = r"(?i)^#{1,4}[ \t]+(user|assistant)[ \t]*\r?(?:\n|$)"
@@ -133,7 +133,7 @@ def headed_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 def message_object(spark: SparkSession, path: str, assistant: str = "gemini") -> DataFrame:
     """One JSON object a file with a list of messages of type and content; `assistant` is the type that means an answer."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select("value", "_metadata.file_name", "_metadata.file_modification_time")
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", "_metadata.file_name", "_metadata.file_modification_time")
     msgs = _get(F.try_parse_json("value"), "$.messages", "array<variant>")
     rows = whole.select(F.regexp_replace("file_name", r"\.[^.]+$", "").alias("session"), F.col("file_modification_time").alias("modified_at"), F.posexplode(msgs).alias("pos", "m"))
     kind = _get("m", "$.type")
