@@ -234,11 +234,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_a", "doc_b", "start", "end"])
 
 
-def _shared_windows(documents: DataFrame, length: int, want_pairs: bool, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def _copies(docs: DataFrame) -> DataFrame:
+    """doc_id, rep of records that are exact copies of others; rep is the smallest id. Records with several texts are left as they are."""
+    one = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("key")).groupBy("doc_id").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key = last").select("doc_id", "key")
+    classes = one.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rep")
+    return materialize(one.join(classes, "key").select("doc_id", "rep"), "copies")
+
+
+def _texts(documents: DataFrame, length: int) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), "text").where((F.length("text") >= length) & F.col("doc_id").isNotNull())
+
+
+def _shared_windows(docs: DataFrame, copies: DataFrame | None, length: int, want_pairs: bool, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """What _counted gives; of exact copies (doc_id, rep) only the representative takes part, so a hot group of copies is one record here."""
     if length < 2 * gram:
         raise ValueError(f"length must be at least {2 * gram}")
-    docs = documents.select(F.col("doc_id").cast("long"), "text").where(F.length("text") >= length)
     grams = materialize(_minimisers(docs, length, gram), "super-k-mers")
+    if copies is not None:
+        grams = grams.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
     buckets = (
         grams.groupBy("bucket")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -252,22 +265,33 @@ def _shared_windows(documents: DataFrame, length: int, want_pairs: bool, gram: i
 def shared_pairs(documents: DataFrame, length: int = 300) -> DataFrame:
     """doc_a < doc_b: the pairs of records that have a common substring of at least `length` code points.
 
-    Every pair is listed, those of exact copies too. Defined cases: null texts and texts
-    under the length share nothing; repeated rows of a record don't pair it with itself;
-    a span repeated inside one record only isn't shared; an empty table gives no rows.
+    Every pair is listed, those of exact copies too: pairs of representatives are found, then
+    expanded. Defined cases: null texts, null ids and texts under the length share nothing;
+    repeated rows of a record don't pair it with itself; a span repeated inside one record only
+    isn't shared; an empty table gives no rows.
     """
-    return _shared_windows(documents, length, True).select("doc_a", "doc_b").distinct()
+    docs = _texts(documents, length)
+    copies = _copies(docs)
+    found = _shared_windows(docs, copies, length, True).select("doc_a", "doc_b").distinct()
+    a, b = copies.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("x")), copies.select(F.col("rep").alias("doc_b"), F.col("doc_id").alias("y"))
+    across = found.join(a, "doc_a", "left").join(b, "doc_b", "left").select(F.coalesce("x", "doc_a").alias("x"), F.coalesce("y", "doc_b").alias("y"))
+    inside = a.join(b.withColumnRenamed("doc_b", "doc_a"), "doc_a").where("x < y").select("x", "y")
+    return across.unionByName(inside).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
 def shared_lengths(documents: DataFrame, length: int = 300) -> DataFrame:
     """doc_id, shared_chars: the characters of each record that lie in spans found elsewhere; records with none are left out.
 
-    No pairs are formed. The runs of a record are bounded by its own length.
+    No pairs are formed; an exact copy is shared as a whole. The runs of a record are bounded by its own length.
     """
-    runs = _shared_windows(documents, length, False).select(F.col("doc_a").alias("doc_id"), "start", "end").distinct()
+    docs = _texts(documents, length)
+    copies = _copies(docs)
+    runs = _shared_windows(docs, copies, length, False).select(F.col("doc_a").alias("doc_id"), "start", "end").distinct()
     step = lambda acc, x: F.struct(
         (acc["total"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["upto"], x["start"]))).alias("total"), F.greatest(acc["upto"], x["end"]).alias("upto")
     )
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("upto"))
     folded = F.aggregate(F.array_sort(F.collect_list(F.struct("start", "end"))), zero, step)
-    return runs.groupBy("doc_id").agg(folded["total"].cast("long").alias("shared_chars"))
+    single = runs.groupBy("doc_id").agg(folded["total"].cast("long").alias("shared_chars")).join(copies.select("doc_id"), "doc_id", "left_anti")
+    whole = docs.select("doc_id", F.length("text").cast("long").alias("shared_chars")).join(copies.select("doc_id"), "doc_id", "left_semi").distinct()
+    return single.unionByName(whole)

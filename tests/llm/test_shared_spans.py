@@ -43,7 +43,7 @@ def corpus(seed):
             a = rnd.randrange(len(u))
             t = t[: rnd.randrange(len(t))] + u[a : a + rnd.randrange(60, 200)] + t[len(t) // 2 :]
         docs.append((i, t))
-    return docs + [(60, None), (61, ""), (62, "ab" * 200), (63, "ba" * 150), (64, "a" * 300), (65, "a" * 99)]
+    return docs + [(60, None), (61, ""), (62, "ab" * 200), (63, "ba" * 150), (64, "a" * 300), (65, "a" * 99), (66, "a" * 99), (None, "a" * 99)] + [(100 + i, rnd.choice(base)) for i in range(30)]
 
 
 @pytest.mark.parametrize("hot", [0, 4, 512])
@@ -51,8 +51,9 @@ def test_equals_brute_force(spark, hot):
     docs = corpus(1)
     pairs, chars = brute(docs, 80)
     df = frame(spark, docs + docs[:5])
-    got = s._shared_windows(df, 80, True, hot=hot).select("doc_a", "doc_b").distinct()
+    got = s._shared_windows(s._texts(df, 80), None, 80, True, hot=hot).select("doc_a", "doc_b").distinct()
     assert {tuple(r) for r in got.collect()} == pairs and pairs
+    assert {tuple(r) for r in s.shared_pairs(df, 80).collect()} == pairs
     if hot == 512:
         assert {tuple(r) for r in s.shared_lengths(df, 80).collect()} == set(chars.items())
 
