@@ -41,7 +41,8 @@ def route(facts: DataFrame, least_notes: int = 2, confidence: float = 0.4) -> Da
     return g.select("query_id", ((F.col("n") >= least_notes) & (F.col("best") > confidence)).alias("use_facts"))
 
 
-def tiered(fact_hits, scored: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+def tiered(scored: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """The tiers of all queries merged: facts by keywords, chunks by their base scores."""
     from lectern.operators import bm25
     from lectern.sources import tables as t
 

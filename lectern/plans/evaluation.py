@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import quality, rank, tune
@@ -27,7 +27,10 @@ _METRIC = """SELECT w.query_id, coalesce(hits, 0) / n::DOUBLE AS recall, coalesc
       FROM (SELECT l.query_id, target, min(place) AS place FROM lab l JOIN ranked USING (query_id) WHERE contains(lower(note_path), rtrim(lower(target), '/')) GROUP BY 1, 2) GROUP BY 1) h ON h.query_id = w.query_id"""
 
 
-@query(sql("SELECT query_id, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM met", **r._FULL, ranked="SELECT query_id, note_path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place) AS place FROM s7 QUALIFY place <= 5".replace("AS place FROM s7 QUALIFY place <= 5", "AS final FROM s7 QUALIFY final <= 5").replace("SELECT query_id, note_path, row_number()", "SELECT query_id, note_path, row_number()"), lab=_LABELS, met=_METRIC.replace("place", "final")))
+_RANKED = "SELECT query_id, note_path, place FROM (SELECT query_id, note_path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place) AS place FROM s7) WHERE place <= 5"
+
+
+@query(sql("SELECT query_id, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM met", **r._FULL, ranked=_RANKED, lab=_LABELS, met=_METRIC))
 def recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
     """Quality of the full ranker per query."""
     m = quality.metrics(r.hybrid_full(spark, d).select("query_id", F.col("note_path").alias("path"), "place"), labels(spark, d))
@@ -46,9 +49,6 @@ def weight_search(spark: SparkSession, d: str) -> DataFrame:
     return tune.coordinate_ascent(spark, d, rounds=1, grids={"hotness": (0.0, 0.2, 0.4), "link_penalty": (0.5, 1.0)})
 
 
-_NORM = "SELECT query_id, note_path, greatest(0, s / max(s) OVER (PARTITION BY query_id)) AS s FROM (SELECT query_id, note_path, max({}) AS s FROM {} GROUP BY 1, 2)"
-
-
 @query(sql("SELECT query_id, note_path, round(CASE WHEN top > 0 THEN greatest(0, s / top) ELSE 0 END, 6) AS score FROM (SELECT query_id, note_path, max(score) AS s, max(max(score)) OVER (PARTITION BY query_id) AS top FROM s0 GROUP BY 1, 2)", **r._CAND))
 def normalize_scores(spark: SparkSession, d: str) -> DataFrame:
     """Best score of each note over the query's best, not below 0."""
@@ -82,7 +82,7 @@ def _facts_sql() -> dict[str, str]:
 @query(sql("SELECT query_id, note_path, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, note_path) AS nth FROM mg) WHERE nth <= 5", **_facts_sql(), **_TRI))
 def tiered_merge(spark: SparkSession, d: str) -> DataFrame:
     """Notes by their facts and, at half weight, their chunks: the 5 best of each query."""
-    return tune.tiered(r.triple_keyword_topk, rank.base_scores(r.candidates(spark, d)), spark, d)
+    return tune.tiered(rank.base_scores(r.candidates(spark, d)), spark, d)
 
 
 @query(sql("SELECT (SELECT count(*) FROM v_notes) AS n_notes, (SELECT count(*) FROM v_chunks) AS n_chunks, (SELECT count(DISTINCT chunk_id) FROM v_vectors) AS n_embedded, (SELECT count(*) FROM v_triples) AS n_triples, (SELECT count(DISTINCT note_path) FROM v_triples) AS notes_with_facts, (SELECT count(*) FROM v_pairs) AS n_pairs, (SELECT count(*) FROM v_memories) AS n_memories"))

@@ -131,15 +131,15 @@ def headed_markdown(spark: SparkSession, path: str) -> DataFrame:
     return _kept(rows.where("pos > 0").select("session", "modified_at", "pos", F.lower(F.regexp_extract("part", head, 1)).alias("role"), F.rtrim(F.regexp_replace("part", head, ""), F.lit("\n")).alias("text")))
 
 
-def message_object(spark: SparkSession, path: str, assistant: str = "gemini") -> DataFrame:
-    """One JSON object a file with a list of messages of type and content; `assistant` is the type that means an answer."""
+def message_object(spark: SparkSession, path: str, notices: tuple[str, ...] = ("info", "error", "warning")) -> DataFrame:
+    """One JSON object a file with a list of messages of type and content; a type other than user and the notices is the assistant's name."""
     whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", "_metadata.file_name", "_metadata.file_modification_time")
     msgs = _get(F.try_parse_json("value"), "$.messages", "array<variant>")
     rows = whole.select(F.regexp_replace("file_name", r"\.[^.]+$", "").alias("session"), F.col("file_modification_time").alias("modified_at"), F.posexplode(msgs).alias("pos", "m"))
     kind = _get("m", "$.type")
     parts = F.filter(F.transform(_get("m", "$.content", "array<variant>"), lambda p: F.when(F.coalesce(_get(p, "$.thought", "boolean"), F.lit(False)), F.lit(None)).otherwise(F.coalesce(_get(p, "$.text"), _get(p, "$")))), lambda t: F.length(F.trim(t)) > 0)
     text = F.when(parts.isNotNull(), F.array_join(parts, " ")).otherwise(F.coalesce(_get("m", "$.content.text"), _get("m", "$.content")))
-    return _kept(rows.select("session", "modified_at", "pos", F.when(kind == "user", "user").when(kind == assistant, "assistant").alias("role"), text.alias("text")))
+    return _kept(rows.select("session", "modified_at", "pos", F.when(kind == "user", "user").when(~kind.isin(*notices), "assistant").alias("role"), text.alias("text")))
 
 
 SHAPES = {"message_lines": message_lines, "request_lines": request_lines, "payload_lines": payload_lines, "headed_markdown": headed_markdown, "message_object": message_object}

@@ -39,7 +39,7 @@ def test_transcript_shapes(spark, tmp_path):
     assert turns(readers.payload_lines(spark, str(tmp_path / "3"))) == [("user", "x y")]
     write(tmp_path / "4", s_md="ignored\n#### user\nhello\nthere\n#### Assistant\nanswer\n")
     assert turns(readers.headed_markdown(spark, str(tmp_path / "4"))) == [("user", "hello\nthere"), ("assistant", "answer")]
-    write(tmp_path / "5", s_json=json.dumps({"messages": [{"type": "user", "content": "q"}, {"type": "info", "content": "z"}, {"type": "gemini", "content": [{"text": "t", "thought": True}, {"text": "a"}, "b"]}]}))
+    write(tmp_path / "5", s_json=json.dumps({"messages": [{"type": "user", "content": "q"}, {"type": "info", "content": "z"}, {"type": "model", "content": [{"text": "t", "thought": True}, {"text": "a"}, "b"]}]}))
     both = readers.message_object(spark, str(tmp_path / "5"))
     assert turns(both) == [("user", "q"), ("assistant", "a b")]
     assert [r["session"] for r in readers.recent_sessions(both, 3).collect()] == ["s"]
