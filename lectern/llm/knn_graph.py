@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import materialize, remove_path, scratch_path, width
+from lectern.session import remove_path, scratch_path, width
 
 STATE = "block int, ids binary, vec binary, scale binary, nbr binary, sim binary"
 FOUND = "block int, v binary, nbr binary, sim binary"
@@ -523,13 +523,25 @@ def search(graph: KnnGraph, queries: DataFrame, key: str, column: str, top: int
             out.append((r["shard"], r["id"], r["vec"], r["scale"], refs[o].tobytes(), sims[o].tobytes(), near[o].tobytes(), done[o].tobytes(), seen.tobytes()))
         return _table(out, ASKED)
 
-    asks = materialize(prepare(queries, key, column, dim).mapInArrow(start, ASK), "asks")
+    paths: list[str] = []
+
+    def store(df: DataFrame) -> DataFrame:
+        paths.append(scratch_path(spark, "asked"))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    asks = store(prepare(queries, key, column, dim).mapInArrow(start, ASK))
     empty = F.lit(b"")
     state = asks.select("shard", "id", "vec", "scale", *[empty.alias(c) for c in ("refs", "sims", "nbrs", "done", "seen")])
     for _ in range(rounds + 1):
-        replies = graph.state.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(answer, REPLY)
-        state = materialize(state.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(gather, ASKED), "asked")
+        replies = graph.state.select("block", "vec", "scale", "nbr").groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(answer, REPLY)
+        state = store(state.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(gather, ASKED))
         asks = state.mapInArrow(ask, ASK)
+        for old in paths[:-1]:
+            remove_path(spark, old)
+        del paths[:-1], replies
+        gc.collect()
+        spark._jvm.System.gc()  # as in build_graph
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Forest = shared.value
