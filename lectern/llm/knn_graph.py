@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import remove_path, scratch_path, width
+from lectern.session import materialize, remove_path, scratch_path, width
 
 STATE = "block int, ids binary, vec binary, scale binary, nbr binary, sim binary"
 FOUND = "block int, v binary, nbr binary, sim binary"
@@ -187,8 +187,8 @@ def _unpack(table: pa.Table, name: str, dtype) -> np.ndarray:
 
 
 def _ship(v: np.ndarray, nbr: np.ndarray, sim: np.ndarray, forest: Forest) -> pa.Table:
-    """Candidates packed by the home block of v; their cosines in half precision."""
-    rows = [(b, (v[r] - b * forest.stride).astype(np.int16).tobytes(), nbr[r].tobytes(), sim[r].astype(np.float16).tobytes()) for b, r in _by_block(v // forest.stride)]
+    """Candidates packed by the home block of v; their distances from cosine 1 in half precision, which is finest where neighbours are nearest."""
+    rows = [(b, (v[r] - b * forest.stride).astype(np.int16).tobytes(), nbr[r].tobytes(), (1 - sim[r]).astype(np.float16).tobytes()) for b, r in _by_block(v // forest.stride)]
     return _table(rows, FOUND)
 
 
@@ -260,7 +260,7 @@ def _edge_messages(shared, dim: int):
             for r in _rows(b):
                 n = len(r["ids"]) // 8
                 nbr = np.frombuffer(r["nbr"], dtype=forest.ref).reshape(n, -1)
-                bar = np.frombuffer(r["sim"], dtype=np.float32).reshape(n, -1)[:, -1].astype(np.float16)
+                bar = (1 - np.frombuffer(r["sim"], dtype=np.float32).reshape(n, -1)[:, -1]).astype(np.float16)
                 raw = np.frombuffer(r["vec"], dtype=np.int8).reshape(-1, dim)
                 scale = np.frombuffer(r["scale"], dtype=np.float32)
                 own = np.arange(n)
@@ -287,7 +287,7 @@ def _edge_join(shared, dim: int, group: int, most: int, keep_best: int, seed: in
         offset = np.repeat(np.cumsum([0] + sizes[:-1]), [len(x) // 2 for x in t.column("m").to_pylist()])
         ref = _unpack(t, "ref", forest.ref)
         x = _unpack(t, "vec", np.int8).reshape(-1, dim).astype(np.float32) * _unpack(t, "scale", np.float32)[:, None]
-        bar = np.concatenate([_unpack(t, "bar", np.float16).astype(np.float32), [np.float32(9)]])
+        bar = np.concatenate([1 - _unpack(t, "bar", np.float16).astype(np.float32), [np.float32(9)]])
         u, m = _unpack(t, "u", np.int16), _unpack(t, "m", np.int16) + offset
         o = np.lexsort((rng.random(len(u)), u))
         u, m = u[o], m[o]
@@ -333,7 +333,7 @@ def _merge(shared, k: int):
         nbr, sim = np.frombuffer(r["nbr"], dtype=forest.ref), np.frombuffer(r["sim"], dtype=np.float32)
         real = nbr >= 0
         v = np.concatenate([np.repeat(np.arange(n), len(nbr) // n)[real], _unpack(found, "v", np.int16)])
-        nbr, sim = best(v, np.concatenate([nbr[real], _unpack(found, "nbr", forest.ref)]), np.concatenate([sim[real], _unpack(found, "sim", np.float16).astype(np.float32)]), n, k)
+        nbr, sim = best(v, np.concatenate([nbr[real], _unpack(found, "nbr", forest.ref)]), np.concatenate([sim[real], 1 - _unpack(found, "sim", np.float16).astype(np.float32)]), n, k)
         return _table([(r["block"], r["ids"], r["vec"], r["scale"], nbr.tobytes(), sim.tobytes())], STATE)
 
     return merge
@@ -554,15 +554,95 @@ def search(graph: KnnGraph, queries: DataFrame, key: str, column: str, top: int
     return found.select("id", "neighbour", "sim", rank.alias("rank")).where(F.col("rank") <= top)
 
 
+def _packed(vectors: DataFrame, key: str, column: str, dim: int, wanted: DataFrame) -> DataFrame:
+    """id, x (dim packed numbers, in single precision if they are stored so) of the usable vectors of the ids in `wanted`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = x if x.dtype == np.float32 else x.astype(np.float64)
+            ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(ok)), pa.array([r.tobytes() for r in x[ok]], pa.binary())], names=["id", "x"])
+
+    src = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("e")).where(F.size("e") == dim).where(~F.exists("e", lambda v: v.isNull()))
+    return src.join(wanted, "id", "left_semi").mapInArrow(run, "id long, x binary").distinct()
+
+
+def _lengths_1(packed: list[bytes], dim: int) -> np.ndarray:
+    """The vectors of _packed in double precision, of length 1."""
+    x = np.frombuffer(b"".join(packed), dtype=np.float32 if len(packed) and len(packed[0]) == 4 * dim else np.float64).astype(np.float64).reshape(-1, dim)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=0)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def exact_cosines(pairs: DataFrame, vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
+    """a, b, cosine of pairs of ids, from the vectors as given; of an id's several vectors the nearest counts."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (_lengths_1(b.column(c).to_pylist(), dim) for c in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array((x * y).sum(axis=1))], names=["a", "b", "cosine"])
+
+    known = _packed(vectors, key, column, dim, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    both = pairs.join(known.withColumnRenamed("id", "a"), "a").join(known.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(score, "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def _met(unsure: DataFrame, stored: DataFrame, vectors: DataFrame, key: str, column: str, dim: int, top: int, floor: float) -> DataFrame:
+    """a, b, cosine: of every unsure vector the `top` most similar of each list of those that it lists."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in _rows(b):
+                w, s = np.array(r["ids"]), _lengths_1(r["ys"], dim) @ _lengths_1([r["x"]], dim)[0]
+                s[w == r["id"]] = -3
+                for o in np.argsort(-s, kind="stable")[:top]:
+                    if s[o] >= floor:
+                        out.append((min(r["id"], int(w[o])), max(r["id"], int(w[o])), float(s[o])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["a", "b", "cosine"])
+
+    asks = stored.join(unsure, "id", "left_semi").select("id", F.col("neighbour").alias("via"))
+    lists = stored.join(asks.select(F.col("via").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("via"), F.col("neighbour").alias("id"))
+    known = _packed(vectors, key, column, dim, asks.select("id").union(lists.select("id")).distinct())
+    held = lists.join(known, "id").groupBy("via").agg(F.collect_list("id").alias("ids"), F.collect_list("x").alias("ys"))  # at most k entries
+    return asks.join(known, "id").join(held, "via").select("id", "x", "ids", "ys").mapInArrow(score, "a long, b long, cosine double")
+
+
+#: Bound of the error of a cosine of 8-bit vectors, several times the usual error of about 0.001.
+ERROR = 0.005
+
+
+def exact_neighbours(graph: KnnGraph, vectors: DataFrame, key: str, column: str, top: int = 10, floor: float = -1.0) -> DataFrame:
+    """id, neighbour, sim (exact cosine of at least `floor`), rank: the `top` most similar of each vector among all that it lists or that list it.
+
+    Stored neighbours get exact cosines before the cut, as the stored order is that of 8-bit vectors; only those too far
+    below the stored `top`-th to pass it are spared. Where the last stored neighbour is too close to the `top`-th for the
+    cut at k to be sure, neighbours of neighbours are compared exactly too.
+    """
+    stored = materialize(graph.neighbours(graph.k, floor - 2 * ERROR).where("id <> neighbour"), "stored")
+    nth = F.max(F.when(F.col("rank") == top, F.col("sim"))).over(Window.partitionBy("id"))
+    close = stored.withColumn("nth", nth).where((F.col("rank") <= top) | (F.col("sim") >= F.col("nth") - 2 * ERROR))
+    pairs = close.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()
+    scored = materialize(exact_cosines(pairs, vectors, key, column, graph.dim).where(F.col("cosine") >= floor), "cosines")
+
+    def ranked(scored: DataFrame) -> DataFrame:
+        side = lambda v, w: F.struct(F.col(v).alias("id"), F.col(w).alias("neighbour"))
+        ends = scored.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("p"), F.col("cosine").alias("sim")).select("p.id", "p.neighbour", "sim")
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("sim", 12).desc(), "neighbour"))
+        return ends.withColumn("rank", rank).where(F.col("rank") <= top)
+
+    last = stored.where(F.col("rank") == graph.k).select("id", F.col("sim").alias("last"))
+    worst = F.coalesce("sim", F.lit(floor))
+    unsure = last.join(ranked(scored).where(F.col("rank") == top).select("id", "sim"), "id", "left").where((worst < F.col("last") + ERROR) & (worst < 1 - 1e-9)).select("id")
+    unsure = materialize(unsure, "unsure")
+    if unsure.isEmpty():
+        return ranked(scored)
+    more = _met(unsure, stored, vectors, key, column, graph.dim, top, floor)
+    return ranked(scored.unionByName(more).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+
+
 def similar_pairs(vectors: DataFrame, key: str, column: str, floor: float, top: int = 10, dim: int = 64, **settings) -> DataFrame:
-    """a < b: pairs with a cosine of `floor` or more of which one is among the `top` most similar of the other, cosines computed exactly."""
-    graph = build_graph(vectors, key, column, dim, **settings)
-    near = graph.neighbours(top, floor - 0.01)
-    pairs = near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).where("a <> b").distinct()
-    usable = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("e")).where((F.size("e") == dim))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
-    known = usable.join(wanted, "id", "left_semi").distinct()
-    left, right = known.select(F.col("id").alias("a"), F.col("e").alias("x")), known.select(F.col("id").alias("b"), F.col("e").alias("y"))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    scored = pairs.join(left, "a").join(right, "b").withColumn("cosine", dot("x", "y") / F.sqrt(dot("x", "x")) / F.sqrt(dot("y", "y")))
-    return scored.where(F.col("cosine") >= floor).select("a", "b").distinct()
+    """a < b: pairs with a cosine of `floor` or more of which one is among the `top` most similar of the other, by exact cosines."""
+    near = exact_neighbours(build_graph(vectors, key, column, dim, **settings), vectors, key, column, top, floor)
+    return near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()

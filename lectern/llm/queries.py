@@ -186,8 +186,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = knn_graph.build_graph(_table(spark, sf_dir, "chunks"), "chunk_id", "embedding")
-    return graph.neighbours(10).select(F.col("id").alias("chunk_id"), "neighbour", F.round(F.col("sim").cast("double"), 2).alias("similarity"), "rank")
+    chunks = _table(spark, sf_dir, "chunks")
+    near = knn_graph.exact_neighbours(knn_graph.build_graph(chunks, "chunk_id", "embedding"), chunks, "chunk_id", "embedding")
+    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("sim", 2).alias("similarity"), "rank")
 
 
 @query()

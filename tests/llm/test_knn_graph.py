@@ -51,3 +51,30 @@ def test_blocks_of_equal_vectors_are_divided(spark):
     graph = g.build_graph(df, "chunk_id", "embedding", leaf=20, rounds=1)
     assert graph.state.count() >= 7
     assert graph.neighbours(10).groupBy("id").count().where("count = 10").count() == 300
+
+
+def near_copies(n, seed=0, far=0):
+    """Copies of one vector, all pairs of them at a cosine above 0.99 but none equal, and unrelated vectors."""
+    rng = np.random.default_rng(seed)
+    one = rng.normal(size=64)
+    x = np.concatenate([one + np.linalg.norm(one) * 0.0066 * rng.normal(size=(n, 64)), rng.normal(size=(far, 64))]).astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    return x, s
+
+
+def true_pairs(s, floor, top=10):
+    order = np.argsort(-s, axis=1)[:, :top]
+    return {(min(i, int(j)), max(i, int(j))) for i in range(len(s)) for j in order[i] if s[i, j] >= floor}
+
+
+def test_a_hot_group_of_near_copies_is_ranked_by_exact_cosines(spark):
+    x, s = near_copies(400, far=300)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    want = true_pairs(s, 0.92)
+    assert {tuple(r) for r in g.similar_pairs(df, "chunk_id", "embedding", 0.92).collect()} == want
+    near = {(r["id"], r["neighbour"]): r["rank"] for r in g.exact_neighbours(g.build_graph(df, "chunk_id", "embedding"), df, "chunk_id", "embedding").collect()}
+    order = np.argsort(-s, axis=1)[:, :10]
+    assert all(near[i, int(j)] == k + 1 for i in range(400) for k, j in enumerate(order[i]))
