@@ -87,8 +87,8 @@ def ask(e: Engine, text: str, top_k: int = 8, workspace: str | None = None) -> D
 
 @Engine.tool
 def triples(e: Engine, text: str, top_k: int = 10, workspace: str | None = None) -> DataFrame:
-    hits = bm25.bm25(e.triples, "triple_id", "triple_text", e.asked(text).select("query_id", "text"), 30)
-    j = hits.join(e.scope(e.triples, workspace).select(F.col("triple_id").alias("doc"), "note_path", "subject", "predicate", "object"), "doc")
+    inside = e.scope(e.triples, workspace).select(F.col("triple_id").alias("doc"), "note_path", "subject", "predicate", "object")
+    j = bm25.bm25(e.triples, "triple_id", "triple_text", e.asked(text).select("query_id", "text"), 30, within=inside).join(inside, "doc")
     return j.orderBy("pos").limit(top_k).select("note_path", "subject", "predicate", "object", "rank")
 
 

@@ -56,9 +56,12 @@ def triple_keyword_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT query_id, doc AS chunk_id, round(rank, 6) AS rank FROM bm JOIN v_chunks ON doc = chunk_id WHERE lower(note_path) LIKE 'work/%'", **_BM))
 def keyword_workspace(spark: SparkSession, d: str) -> DataFrame:
-    """The keyword hits inside one workspace; statistics stay those of the whole corpus."""
+    """The 50 best keyword hits of every query inside one workspace; statistics stay those of the whole corpus.
+
+    The SQL cuts to 50 before the workspace, so it has a part of these rows only.
+    """
     c = t.chunks(spark, d).where(F.lower("note_path").startswith("work/")).select(F.col("chunk_id").alias("doc"))
-    return _hits(spark, d).join(c, "doc").select("query_id", F.col("doc").alias("chunk_id"), F.round("rank", 6).alias("rank"))
+    return _hits(spark, d, within=c).select("query_id", F.col("doc").alias("chunk_id"), F.round("rank", 6).alias("rank"))
 
 
 @query(

@@ -89,3 +89,9 @@ def test_community_search_and_labels(spark):
     n = spark.createDataFrame([("a", "Title A"), ("b", "Title B"), ("c", None)], "path string, title string")
     su = spark.createDataFrame([("a", "This is the first sentence. More.")], "note_path string, summary string")
     assert {(r["query"], r["target"]) for r in assemble.auto_labels(n, su).collect()} == {("This is the first sentence.", "a"), ("Title B", "b")}
+
+
+def test_workspace_is_filtered_before_the_best_facts_are_kept(spark):
+    rows = [(i, "out/a.md", "apple", "is", "x", "apple apple") for i in range(40)] + [(100 + i, "in/b.md", "apple", "is", "y", "apple and some more words") for i in range(5)]
+    facts = spark.createDataFrame(rows, "triple_id long, note_path string, subject string, predicate string, object string, triple_text string")
+    assert Engine(spark, {"triples": facts}, "2024-06-01").query("triples", text="apple", workspace="in").count() == 5

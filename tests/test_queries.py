@@ -49,3 +49,15 @@ def test_the_rest_needs_no_training_data_operators():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert not re.search(r"\bllm\b", f.read_text()), f
+
+
+def test_workspace_is_filtered_before_the_best_chunks_are_kept(spark):
+    from lectern.operators import bm25
+    from lectern.sources import tables as t
+
+    c = t.chunks(spark, DATA)
+    every = bm25.bm25(c, "chunk_id", "content", t.questions(spark, DATA).select("query_id", "text"), None).toPandas()
+    inside = {r["chunk_id"] for r in c.where("lower(note_path) LIKE 'work/%'").collect()}
+    every = every[every["doc"].isin(inside)].assign(key=lambda x: x["rank"].round(9)).sort_values(["query_id", "key", "doc"]).groupby("query_id").head(50)
+    got = entry.queries()["keyword_workspace"](spark, DATA).toPandas()
+    assert set(zip(got["query_id"], got["chunk_id"])) == set(zip(every["query_id"], every["doc"])) and len(got) == len(every)
