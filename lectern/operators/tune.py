@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lectern.operators import quality, rank
 
-# The grids of the tunable weights.
+# The grids of the tunable weights, in the order in which they are tried.
 GRIDS = {
-    "convergence": (0.0, 0.15, 0.3, 0.45),
-    "hotness": (0.0, 0.1, 0.2, 0.3, 0.4),
-    "inhibition_threshold": (0.55, 0.65, 0.75, 0.85),
+    "convergence": (0.0, 0.15, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0),
     "inhibition_strength": (0.0, 0.15, 0.3, 0.45),
+    "inhibition_threshold": (0.55, 0.65, 0.75, 0.85, 0.95),
+    "hotness": (0.0, 0.1, 0.2, 0.3, 0.4),
     "cooccurrence": (0.0, 0.05, 0.1, 0.2),
     "link_penalty": (0.3, 0.5, 0.7, 1.0),
 }

@@ -45,8 +45,8 @@ def ablation_delta(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def weight_search(spark: SparkSession, d: str) -> DataFrame:
-    """One round of coordinate ascent over the ranking weights on the even half, with the held-out half's score."""
-    return tune.coordinate_ascent(spark, d, rounds=1, grids={"hotness": (0.0, 0.2, 0.4), "link_penalty": (0.5, 1.0)})
+    """Coordinate ascent over all ranking weights on the even half, with the held-out half's score."""
+    return tune.coordinate_ascent(spark, d)
 
 
 @query(sql("SELECT query_id, note_path, round(CASE WHEN top > 0 THEN greatest(0, s / top) ELSE 0 END, 6) AS score FROM (SELECT query_id, note_path, max(score) AS s, max(max(score)) OVER (PARTITION BY query_id) AS top FROM s0 GROUP BY 1, 2)", **r._CAND))

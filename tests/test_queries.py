@@ -61,3 +61,12 @@ def test_workspace_is_filtered_before_the_best_chunks_are_kept(spark):
     every = every[every["doc"].isin(inside)].assign(key=lambda x: x["rank"].round(9)).sort_values(["query_id", "key", "doc"]).groupby("query_id").head(50)
     got = entry.queries()["keyword_workspace"](spark, DATA).toPandas()
     assert set(zip(got["query_id"], got["chunk_id"])) == set(zip(every["query_id"], every["doc"])) and len(got) == len(every)
+
+
+def test_weight_search_is_the_whole_search(monkeypatch):
+    from lectern.operators import tune
+
+    monkeypatch.setattr(tune, "coordinate_ascent", lambda *a, **kw: (a, kw))
+    assert entry.queries()["weight_search"]("spark", "dir") == (("spark", "dir"), {})
+    assert list(tune.GRIDS) == ["convergence", "inhibition_strength", "inhibition_threshold", "hotness", "cooccurrence", "link_penalty"]
+    assert tune.GRIDS["convergence"] == (0.0, 0.15, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0) and tune.GRIDS["inhibition_threshold"][-1] == 0.95
