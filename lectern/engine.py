@@ -11,6 +11,7 @@ from lectern.functions.models import embed
 from lectern.operators import assemble, bm25, community, cooccur, graph, memory, quality, rank, transcripts, tune
 from lectern.operators.vectors import vector_topk
 from lectern.plans.retrieval import related_notes
+from lectern.session import materialize
 
 
 class Engine:
@@ -50,6 +51,11 @@ class Engine:
         one = self.spark.createDataFrame([(0, text)], "query_id long, text string")
         return embed(one, "text", "qvec", self.embedder)
 
+    def fact_vectors(self, facts: DataFrame) -> DataFrame:
+        """chunk_id (the fact's number), vec of the facts that have a vector."""
+        v = facts if "vec" in facts.columns else embed(facts, "triple_text", "vec", self.embedder)
+        return v.where("vec IS NOT NULL").select(F.col("triple_id").alias("chunk_id"), "vec").dropDuplicates(["chunk_id"])
+
     def scope(self, df: DataFrame, workspace: str | None) -> DataFrame:
         """Rows whose note lies below the workspace, whatever the case."""
         ws = (workspace or "").strip("/").lower()
@@ -85,19 +91,40 @@ def ask(e: Engine, text: str, top_k: int = 8, workspace: str | None = None) -> D
     return assemble.sources(near.withColumn("place", place), e.chunks)
 
 
+def found_facts(e: Engine, q: DataFrame, top_k: int, mode: str = "hybrid", workspace: str | None = None) -> DataFrame:
+    """query_id, doc, score, place of the facts found for one query: the 30 best keyword hits by 0.3 keyword + 0.7 cosine; by vectors alone without keyword hits.
+
+    Facts without a vector take part in keyword search only, and stand for themselves, with score 0, where no hit has one.
+    Vectors are the column `vec` of the facts if there is one, else the embedder's of their text.
+    """
+    inside = e.scope(e.triples, workspace)
+    first = F.row_number().over(rank.Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "pos"))
+    if mode != "semantic":
+        hits = bm25.bm25(e.triples, "triple_id", "triple_text", q.select("query_id", "text"), top_k if mode == "keyword" else 30, within=inside.select(F.col("triple_id").alias("doc")))
+        hits = materialize(hits, "facts")
+        words = hits.where(F.col("pos") <= top_k).select("query_id", "doc", F.lit(0.0).alias("score"), F.col("pos").alias("place"))
+        if mode == "keyword":
+            return words
+        if not hits.isEmpty():
+            near = hits.join(e.fact_vectors(inside).withColumnRenamed("chunk_id", "doc"), "doc").join(q.select("query_id", "qvec"), "query_id")
+            scored = materialize(rank.base_scores(near).select("query_id", "doc", "score", "pos").withColumn("place", first), "facts")
+            return words if scored.isEmpty() else scored.where(F.col("place") <= top_k).drop("pos")
+    near = vector_topk(e.fact_vectors(inside), q.select("query_id", "qvec"), top_k)
+    return near.select("query_id", F.col("chunk_id").alias("doc"), F.col("similarity").alias("score"), F.col("chunk_id").alias("pos")).withColumn("place", first).drop("pos")
+
+
 @Engine.tool
-def triples(e: Engine, text: str, top_k: int = 10, workspace: str | None = None) -> DataFrame:
+def triples(e: Engine, text: str, top_k: int = 10, workspace: str | None = None, mode: str = "hybrid") -> DataFrame:
     inside = e.scope(e.triples, workspace).select(F.col("triple_id").alias("doc"), "note_path", "subject", "predicate", "object")
-    j = bm25.bm25(e.triples, "triple_id", "triple_text", e.asked(text).select("query_id", "text"), 30, within=inside).join(inside, "doc")
-    return j.orderBy("pos").limit(top_k).select("note_path", "subject", "predicate", "object", "rank")
+    j = found_facts(e, e.asked(text), top_k, mode, workspace).join(inside, "doc")
+    return j.orderBy("place").limit(top_k).select("note_path", "subject", "predicate", "object", "score")
 
 
 @Engine.tool
 def tiered(e: Engine, text: str, top_k: int = 5) -> DataFrame:
     """Facts first: where they cover enough notes well enough, notes by facts and chunks together, else by chunks alone."""
     q = e.asked(text)
-    facts = bm25.bm25(e.triples, "triple_id", "triple_text", q.select("query_id", "text"), 30).join(e.triples.select(F.col("triple_id").alias("doc"), "note_path"), "doc")
-    facts = facts.select("query_id", "note_path", (1 / (1 + F.abs("rank"))).alias("score"))
+    facts = found_facts(e, q, 3 * top_k).join(e.triples.select(F.col("triple_id").alias("doc"), "note_path"), "doc").select("query_id", "note_path", "score")
     if tune.route(facts).where("use_facts").limit(1).count() == 0:
         return search(e, text, top_k).select("query_id", "note_path", "score")
     hits = bm25.bm25(e.chunks, "chunk_id", "content", q.select("query_id", "text"), 50).withColumnRenamed("doc", "chunk_id").join(e.vectors, "chunk_id").join(q.select("query_id", "qvec"), "query_id")

@@ -95,3 +95,14 @@ def test_workspace_is_filtered_before_the_best_facts_are_kept(spark):
     rows = [(i, "out/a.md", "apple", "is", "x", "apple apple") for i in range(40)] + [(100 + i, "in/b.md", "apple", "is", "y", "apple and some more words") for i in range(5)]
     facts = spark.createDataFrame(rows, "triple_id long, note_path string, subject string, predicate string, object string, triple_text string")
     assert Engine(spark, {"triples": facts}, "2024-06-01").query("triples", text="apple", workspace="in").count() == 5
+
+
+def test_facts_are_ranked_by_words_and_vectors(spark):
+    rows = [(1, "a.md", "apple", "is", "red", "apple is red", [0.0, 1.0]), (2, "b.md", "apple", "is", "ripe", "apple is ripe and sweet today", [1.0, 0.0]), (3, "c.md", "pear", "is", "green", "pear is green", [0.6, 0.8])]
+    facts = spark.createDataFrame(rows, "triple_id long, note_path string, subject string, predicate string, object string, triple_text string, vec array<double>")
+    e = Engine(spark, {"triples": facts}, "2024-06-01", embedder=lambda texts: [[1.0, 0.0] for _ in texts])
+    paths = lambda **kw: [r["note_path"] for r in e.query("triples", **kw).collect()]
+    assert paths(text="apple") == ["b.md", "a.md"]
+    assert paths(text="apple", mode="keyword") == ["a.md", "b.md"]
+    assert paths(text="nothingmatches", top_k=2) == ["b.md", "c.md"]
+    assert paths(text="apple", mode="semantic", workspace="/c.md/") == []
