@@ -149,11 +149,11 @@ def _fold(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def count_windows(strings: list[tuple[int, int, str]], length: int) -> tuple[dict[tuple[int, int], list], set[tuple[int, int]]]:
+def count_windows(strings: list[tuple[int, int, str]], length: int, want_pairs: bool = True) -> tuple[dict[tuple[int, int], list], set[tuple[int, int]]]:
     """Shared runs of windows and pairs of one bucket. strings: (doc, start, packed).
 
     The windows of all strings are sorted; equal neighbours that belong to two records or
-    more are shared. Returns {(doc, start): window offsets}, {(doc, doc)}.
+    more are shared. Returns {(doc, start): window offsets}, {(doc, doc)}; no pairs are formed unless wanted.
     """
     by_text: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for doc, start, text in strings:
@@ -164,7 +164,8 @@ def count_windows(strings: list[tuple[int, int, str]], length: int) -> tuple[dic
     if len(texts) == 1:
         docs = frozenset(d for d, _ in by_text[texts[0]])
         if len(docs) > 1:
-            groups.add(docs)
+            if want_pairs:
+                groups.add(docs)
             for key in by_text[texts[0]]:
                 shared[key] = list(range(len(texts[0]) - length + 1))
     else:
@@ -178,7 +179,8 @@ def count_windows(strings: list[tuple[int, int, str]], length: int) -> tuple[dic
             same = {i for _, i, _ in windows[at:end]}
             docs = owners[windows[at][1]] if len(same) == 1 else frozenset().union(*(owners[i] for i in same))
             if len(docs) > 1:
-                groups.add(docs)
+                if want_pairs:
+                    groups.add(docs)
                 for _, i, w in windows[at:end]:
                     for key in by_text[texts[i]]:
                         shared[key].append(w)
@@ -203,7 +205,7 @@ def _counted(packed: DataFrame, length: int, want_pairs: bool) -> DataFrame:
 
         def close() -> None:
             if len(held) > 1:
-                shared, pairs = count_windows(held, length)
+                shared, pairs = count_windows(held, length, want_pairs)
                 if want_pairs:
                     new = pairs - seen
                     seen.update(new)

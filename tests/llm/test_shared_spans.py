@@ -73,3 +73,11 @@ def test_hashes_and_minima():
     assert len(set(h.tolist())) == len(seen)
     x = np.random.default_rng(0).integers(0, 100, 50)
     assert s.sliding_min(x, 13).tolist() == [x[i : i + 13].min() for i in range(38)]
+
+
+def test_lengths_form_no_pairs():
+    from lectern.llm import shared_spans
+
+    strings = [(i, 0, "x" * 40 + f"{i:03d}") for i in range(50)]
+    shared, pairs = shared_spans.count_windows(strings, 40, False)
+    assert not pairs and shared == shared_spans.count_windows(strings, 40)[0] and len(shared) == 50
