@@ -27,9 +27,11 @@ def get_spark(master: str = "local[8]", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one on a local master, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lectern-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         root = f"file://{root}"
