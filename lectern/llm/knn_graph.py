@@ -5,11 +5,13 @@ projection tree, fitted on a bounded sample, puts every vector into a block of
 bounded size; oversized leaves are divided by hash. Blocks hold ids, vectors and each vector's
 current neighbours as packed columns, one row per block.
 
-A round is a join of neighbours of neighbours: every vector goes to the blocks of the
-vectors it lists, once per block however many of them live there; those that meet at
-one vector are compared with each other by matrix products; better neighbours go back to their
-home blocks and are merged. The graph is written to the shared folder after each round.
-Hubs are met in random groups of bounded size, never left out.
+A round is a join of neighbours of neighbours: every vector goes to the blocks of some
+vectors it lists, those it found last first, once per block however many of them live there;
+those that meet at one vector, one of them by a new edge, are compared with each other by matrix
+products; better neighbours go back to their home blocks and are merged. An edge is new until it has
+been sent once. The graph is written to the shared folder after each round. Blocks that receive more
+than LOAD vectors are divided by the senders' blocks, differently in each round, so that a
+hub's vectors never come to one task; hubs are met in random groups of bounded size, never left out.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from lectern.session import materialize, remove_path, scratch_path, width
 
-STATE = "block int, ids binary, vec binary, scale binary, nbr binary, sim binary"
+STATE = "block int, ids binary, vec binary, scale binary, nbr binary, sim binary, new binary"
 FOUND = "block int, v binary, nbr binary, sim binary"
+#: Vectors that one group of a round receives before its block is divided.
+LOAD = 32_768
 
 
 # Vectors
@@ -59,7 +63,7 @@ def _matrix(vec, scale, dim: int) -> np.ndarray:
 
 
 class Tree:
-    """A random projection tree: split by the median along the difference of two sample vectors."""
+    """A tree of two-means splits, begun at random vectors of the sample; a side holds a sixth of a node at least."""
 
     def __init__(self, sample: np.ndarray, leaf: int, seed: int):
         rng = np.random.default_rng(seed)
@@ -73,10 +77,16 @@ class Tree:
         if len(x) <= leaf or depth > 40:
             self.leaves += 1
             return -self.leaves
-        a, b = x[rng.choice(len(x), 2, replace=False)]
-        w = (a - b).astype(np.float32)
+        some = x if len(x) <= 4096 else x[rng.choice(len(x), 4096, replace=False)]
+        a, b = some[rng.choice(len(some), 2, replace=False)].astype(np.float32)
+        for _ in range(6):
+            near = some @ (a - b) > (a @ a - b @ b) / 2
+            if near.all() or not near.any():
+                break
+            a, b = some[near].mean(axis=0), some[~near].mean(axis=0)
+        w = a - b
         p = x @ w
-        cut = float(np.median(p))
+        cut = float(np.clip((a @ a - b @ b) / 2, *np.quantile(p, (1 / 6, 5 / 6))))
         low = p <= cut
         if low.all() or not low.any():
             self.leaves += 1
@@ -208,7 +218,7 @@ def _home(shared, dim: int, k: int):
         block = key[0].as_py()
         v, w, s = _dense(raw.astype(np.float32) * scale[:, None], k)
         nbr, sim = best(v, (block * forest.stride + w).astype(forest.ref), s, len(ids), k)
-        return _table([(block, ids.tobytes(), raw.tobytes(), scale.tobytes(), nbr.tobytes(), sim.tobytes())], STATE)
+        return _table([(block, ids.tobytes(), raw.tobytes(), scale.tobytes(), nbr.tobytes(), sim.tobytes(), (nbr >= 0).astype(np.int8).tobytes())], STATE)
 
     return build
 
@@ -248,71 +258,121 @@ def _tree_join(shared, dim: int, k: int):
     return join
 
 
-EDGES = "target int, ref binary, vec binary, scale binary, bar binary, u binary, m binary"
+EDGES = "target int, salt int, ref binary, vec binary, scale binary, bar binary, u binary, m binary, new binary"
 
 
-def _edge_messages(shared, dim: int):
+def _lists(r: dict, ref) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(neighbours, cosines, new or not) of a block's vectors."""
+    n = len(r["ids"]) // 8
+    return np.frombuffer(r["nbr"], dtype=ref).reshape(n, -1), np.frombuffer(r["sim"], dtype=np.float32).reshape(n, -1), np.frombuffer(r["new"], dtype=np.int8).reshape(n, -1)
+
+
+def _chosen(nbr: np.ndarray, new: np.ndarray, fan: int) -> np.ndarray:
+    """Which edges are sent in a round: the nearest `fan`, new ones before old ones."""
+    score = np.where(nbr >= 0, 2 - new, 3) * nbr.shape[1] + np.arange(nbr.shape[1])
+    out = np.zeros(nbr.shape, dtype=bool)
+    at = np.argsort(score, axis=1)[:, :fan]
+    np.put_along_axis(out, at, True, axis=1)
+    return out & (nbr >= 0)
+
+
+def _loads(shared, fan: int):
+    """target, n: how many vectors a block sends to each block, once per pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest: Forest = shared.value
+        for b in batches:
+            for r in _rows(b):
+                nbr, _, new = _lists(r, forest.ref)
+                sent = np.where(_chosen(nbr, new, fan), nbr // forest.stride, -1)
+                sent.sort(axis=1)
+                first = np.ones(sent.shape, dtype=bool)
+                first[:, 1:] = sent[:, 1:] != sent[:, :-1]
+                at, n = np.unique(sent[first & (sent >= 0)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["target", "n"])
+
+    return run
+
+
+def _edge_messages(shared, dim: int, fan: int, divided, turn: int):
     """Every vector to the blocks of those it lists (and to its own), with the bar that a new neighbour must pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: Forest = shared.value
+        parts = divided.value
         for b in batches:
             for r in _rows(b):
-                n = len(r["ids"]) // 8
-                nbr = np.frombuffer(r["nbr"], dtype=forest.ref).reshape(n, -1)
-                bar = (1 - np.frombuffer(r["sim"], dtype=np.float32).reshape(n, -1)[:, -1]).astype(np.float16)
+                nbr, sim, new = _lists(r, forest.ref)
+                n, home = len(nbr), r["block"]
+                bar = (1 - sim[:, -1]).astype(np.float16)
                 raw = np.frombuffer(r["vec"], dtype=np.int8).reshape(-1, dim)
                 scale = np.frombuffer(r["scale"], dtype=np.float32)
                 own = np.arange(n)
-                ref = (r["block"] * forest.stride + own).astype(forest.ref)
-                real = nbr.ravel() >= 0
-                u, src = np.concatenate([nbr.ravel()[real], ref]), np.concatenate([np.repeat(own, nbr.shape[1])[real], own])
+                ref = (home * forest.stride + own).astype(forest.ref)
+                src, place = np.nonzero(_chosen(nbr, new, fan))
+                u, fresh = np.concatenate([nbr[src, place], ref]), np.concatenate([new[src, place], np.zeros(n, dtype=np.int8)])
+                src = np.concatenate([src, own])
                 out = []
                 for target, rows in _by_block(u // forest.stride):
+                    salts = range(parts.get(target, 1)) if target == home else ((home * 0x9E3779B1 + turn * 0x85EBCA6B >> 7) % parts.get(target, 1),)
                     mem, m = np.unique(src[rows], return_inverse=True)
-                    out.append((target, ref[mem].tobytes(), raw[mem].tobytes(), scale[mem].tobytes(), bar[mem].tobytes(), (u[rows] - target * forest.stride).astype(np.int16).tobytes(), m.astype(np.int16).tobytes()))
+                    packed = [ref[mem].tobytes(), raw[mem].tobytes(), scale[mem].tobytes(), bar[mem].tobytes(), (u[rows] - target * forest.stride).astype(np.int16).tobytes(), m.astype(np.int16).tobytes(), fresh[rows].tobytes()]
+                    out += [(target, s, *packed) for s in salts]
                 yield from _table(out, EDGES).to_batches()
 
     return run
 
 
 def _edge_join(shared, dim: int, group: int, most: int, keep_best: int, seed: int):
-    """Compare all members that meet at a vector, in random groups; keep what passes a member's bar."""
+    """Compare the members that meet at a vector, in random groups, if one came by a new edge; keep what passes a member's bar."""
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         forest: Forest = shared.value
-        rng = np.random.default_rng([seed, key[0].as_py()])
+        rng = np.random.default_rng([seed, key[0].as_py(), key[1].as_py()])
         width_ = np.dtype(forest.ref).itemsize
         sizes = [len(x) // width_ for x in t.column("ref").to_pylist()]
         offset = np.repeat(np.cumsum([0] + sizes[:-1]), [len(x) // 2 for x in t.column("m").to_pylist()])
         ref = _unpack(t, "ref", forest.ref)
         x = _unpack(t, "vec", np.int8).reshape(-1, dim).astype(np.float32) * _unpack(t, "scale", np.float32)[:, None]
         bar = np.concatenate([1 - _unpack(t, "bar", np.float16).astype(np.float32), [np.float32(9)]])
-        u, m = _unpack(t, "u", np.int16), _unpack(t, "m", np.int16) + offset
+        u, m, new = _unpack(t, "u", np.int16), _unpack(t, "m", np.int16) + offset, _unpack(t, "new", np.int8)
         o = np.lexsort((rng.random(len(u)), u))
-        u, m = u[o], m[o]
+        u, m, new = u[o], m[o], new[o]
         at = np.arange(len(u)) - np.searchsorted(u, u)
         g = np.cumsum(at % group == 0) - 1
-        full = np.full((int(g[-1]) + 1 if len(g) else 0, group), -1, dtype=np.int64)
-        full[g, at % group] = m
+        size = np.bincount(g, minlength=1)
         cv, cw, cs = [], [], []
-        most_, diagonal = min(most, group - 1), np.arange(group)
-        for a in range(0, len(full), 1500):
-            p = full[a : a + 1500]
-            y = x[p]
-            d = np.matmul(y, y.transpose(0, 2, 1))
-            d[:, diagonal, diagonal] = -3
-            d[np.broadcast_to((p < 0)[:, None, :], d.shape)] = -3
-            d[d <= bar[p][:, :, None]] = -3
-            j = np.argpartition(-d, most_, axis=2)[:, :, :most_]
-            q = np.take_along_axis(d, j, 2)
-            i0, i1, i2 = np.nonzero(q > -2.5)
-            cv.append(p[i0, i1])
-            cw.append(p[i0, j[i0, i1, i2]])
-            cs.append(q[i0, i1, i2])
+        low = 1
+        for wide in (4, 8, 12, 16, 24, 32, group):  # groups of like size share one padded product
+            mine = np.flatnonzero((size > low) & (size <= wide))
+            low = wide
+            if not len(mine):
+                continue
+            row = np.full(len(size), -1, dtype=np.int64)
+            row[mine] = np.arange(len(mine))
+            here = row[g] >= 0
+            full, fresh = np.full((len(mine), wide), -1, dtype=np.int64), np.zeros((len(mine), wide), dtype=bool)
+            full[row[g[here]], at[here] % group], fresh[row[g[here]], at[here] % group] = m[here], new[here] > 0
+            most_, diagonal = min(most, wide - 1), np.arange(wide)
+            step = max(1, 3_000_000 // (wide * wide))
+            for a in range(0, len(full), step):
+                p, f = full[a : a + step], fresh[a : a + step]
+                y = x[p]
+                d = np.matmul(y, y.transpose(0, 2, 1))
+                d[:, diagonal, diagonal] = -3
+                d[(p < 0)[:, None, :] | ~(f[:, :, None] | f[:, None, :])] = -3
+                d[d <= bar[p][:, :, None]] = -3
+                j = np.argpartition(-d, most_, axis=2)[:, :, :most_]
+                q = np.take_along_axis(d, j, 2)
+                i0, i1, i2 = np.nonzero(q > -2.5)
+                cv.append(p[i0, i1])
+                cw.append(p[i0, j[i0, i1, i2]])
+                cs.append(q[i0, i1, i2])
         if not cv:
             return _table([], FOUND)
         v, w, s = np.concatenate(cv), np.concatenate(cw), np.concatenate(cs)
+        other = ref[v] != ref[w]  # a vector of a divided block may be there twice
+        v, w, s = v[other], w[other], s[other]
         _, first = np.unique(v * len(ref) + w, return_index=True)
         v, w, s = v[first], w[first], s[first]
         o = np.lexsort((-s, v))
@@ -323,18 +383,24 @@ def _edge_join(shared, dim: int, group: int, most: int, keep_best: int, seed: in
     return join
 
 
-def _merge(shared, k: int):
+def _merge(shared, k: int, fan: int):
+    """A block's lists with what was found for them; edges sent in this round are no longer new. fan 0: none were sent."""
+
     def merge(state: pa.Table, found: pa.Table) -> pa.Table:
         if not state.num_rows:
             return _table([], STATE)
         forest: Forest = shared.value
         r = state.to_pylist()[0]
-        n = len(r["ids"]) // 8
-        nbr, sim = np.frombuffer(r["nbr"], dtype=forest.ref), np.frombuffer(r["sim"], dtype=np.float32)
+        nbr, sim, new = _lists(r, forest.ref)
+        n = len(nbr)
+        known = new.astype(bool) & ~_chosen(nbr, new, fan) if fan else new.astype(bool)
         real = nbr >= 0
-        v = np.concatenate([np.repeat(np.arange(n), len(nbr) // n)[real], _unpack(found, "v", np.int16)])
-        nbr, sim = best(v, np.concatenate([nbr[real], _unpack(found, "nbr", forest.ref)]), np.concatenate([sim[real], 1 - _unpack(found, "sim", np.float16).astype(np.float32)]), n, k)
-        return _table([(r["block"], r["ids"], r["vec"], r["scale"], nbr.tobytes(), sim.tobytes())], STATE)
+        old_v = np.repeat(np.arange(n), real.sum(axis=1))
+        v = np.concatenate([old_v, _unpack(found, "v", np.int16)])
+        refs, sims = best(v, np.concatenate([nbr[real], _unpack(found, "nbr", forest.ref)]), np.concatenate([sim[real], 1 - _unpack(found, "sim", np.float16).astype(np.float32)]), n, k)
+        stale = (old_v * (1 << 40) + nbr[real].astype(np.int64))[~known[real]]
+        fresh = ~np.isin(np.arange(n)[:, None] * (1 << 40) + refs.astype(np.int64), stale) & (refs >= 0)
+        return _table([(r["block"], r["ids"], r["vec"], r["scale"], refs.tobytes(), sims.tobytes(), fresh.astype(np.int8).tobytes())], STATE)
 
     return merge
 
@@ -375,7 +441,7 @@ class KnnGraph:
 
 
 def build_graph(
-    vectors: DataFrame, key: str, column: str, dim: int = 64, k: int = 28, trees: int = 3, leaf: int = 2048, rounds: int = 3, group: int = 48, keep_best: int = 14, sample_rows: int = 50_000, seed: int = 7
+    vectors: DataFrame, key: str, column: str, dim: int = 64, k: int = 28, trees: int = 4, leaf: int = 2048, rounds: int = 3, fan: int = 20, group: int = 48, keep_best: int = 10, tree_best: int = 12, sample_rows: int = 50_000, seed: int = 7
 ) -> KnnGraph:
     """The approximate k-nearest-neighbour graph of all usable vectors by NN-descent.
 
@@ -383,6 +449,8 @@ def build_graph(
     Vectors of another size, null, with null, NaN or infinite numbers, or all zero take no part.
     Repeated rows count once; of an id's several vectors one is kept, the least as stored. An empty table gives an empty graph.
     """
+    if trees < 2:
+        raise ValueError("with one tree no list ever leaves its block: at least two are needed")
     spark = vectors.sparkSession
     paths: list[str] = []
 
@@ -425,14 +493,16 @@ def build_graph(
 
     routed = base.mapInArrow(route, "block int, id long, vec binary, scale float")
     state = store(routed.groupBy("block").applyInArrow(_home(shared, dim, k), STATE), "graph")
-    for i in range(-(trees > 1), rounds):
+    for i in range(-1, rounds):
         if i < 0:
             met = state.select("block", "ids", "vec", "scale").mapInArrow(_tree_messages(shared, dim), TREE)
-            found = met.groupBy("grp").applyInArrow(_tree_join(shared, dim, k), FOUND)
+            found = met.groupBy("grp").applyInArrow(_tree_join(shared, dim, tree_best), FOUND)
         else:
-            met = state.mapInArrow(_edge_messages(shared, dim), EDGES)
-            found = met.groupBy("target").applyInArrow(_edge_join(shared, dim, group, 12, keep_best, seed + i), FOUND)
-        state = store(state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_merge(shared, k), STATE), "graph")
+            heavy = state.select("ids", "nbr", "sim", "new").mapInArrow(_loads(shared, fan), "target int, n long").groupBy("target").agg(F.sum("n").alias("n")).where(F.col("n") > LOAD)
+            divided = spark.sparkContext.broadcast({r["target"]: -(-r["n"] // LOAD) for r in heavy.collect()})  # at most one row per block
+            met = state.mapInArrow(_edge_messages(shared, dim, fan, divided, i), EDGES)
+            found = met.groupBy("target", "salt").applyInArrow(_edge_join(shared, dim, group, 12, keep_best, seed + i), FOUND)
+        state = store(state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_merge(shared, k, fan if i >= 0 else 0), STATE), "graph")
         for old in paths[:-1]:
             remove_path(spark, old)
         del paths[:-1], met, found
