@@ -3,219 +3,233 @@
 Contents with one word set form a class; classes are compared. Each class gets a
 parity sketch (every word flips one of 128 bits), so that the Hamming distance of two
 sketches never exceeds the symmetric difference of the sets: a similarity threshold
-becomes an integer radius and nothing above it is lost. Shards hold the classes that
-share a key of rare words which any two similar sets must share; a BK-tree, children
-keyed by their integer Hamming distance to the parent, is built for each block of a
-shard, and queries follow only the edges within their radius. Survivors are verified.
+becomes an integer radius and nothing above it is lost. A shard holds the classes with one
+rare word among those that similar sets must share. Its smaller sets form a BK-tree, children keyed
+by their integer Hamming distance to the parent; every set of the shard asks it and follows only
+the edges within its radius. All trees of an Arrow batch grow and are searched level by level, in
+whole columns. Survivors are verified on their word hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.session import materialize
 
-COUNTERS = 1 << 16
-PAIR_LIMIT = 100
+COUNTERS = 1 << 18
 BLOCK = 2048
-_MASK = (1 << 63) - 1
+#: Pairs of askers and tree nodes that one step of a search may hold.
+STEP = 2_000_000
 
 
-def word_set(content):
+def words_of(content):
     """Sorted distinct words of a text column."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(content), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
-
+def radius(n, m, threshold: float):
+    """The greatest symmetric difference of sets of n and m words with a Jaccard similarity of the threshold or more."""
+    return n + m - 2 * np.ceil(threshold / (1 + threshold) * (np.asarray(n) + m) - 1e-9).astype(np.int64)
 
-def sketch(hashes: list[int]) -> int:
-    bits = 0
-    for h in hashes:
-        bits ^= 1 << (h & 127)
-    return bits
 
+def prefixes(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(words by which a set is found, words by which it asks): the rarest, of which two similar sets share one.
 
-def radius(n: int, m: int, threshold: float) -> int:
-    """The greatest symmetric difference of sets of n and m words with a Jaccard similarity of the threshold or more."""
-    return n + m - 2 * ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-
-
-class BKTree:
-    """A tree of (sketch, size, id); children by integer distance. Equal sketches share a node."""
-
-    __slots__ = ("root",)
-
-    def __init__(self) -> None:
-        self.root: list | None = None  # [sketch, [(size, id)], {distance: node}]
-
-    def add(self, bits: int, size: int, who: int) -> None:
-        if self.root is None:
-            self.root = [bits, [(size, who)], {}]
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ bits).bit_count()
-            if d == 0:
-                node[1].append((size, who))
-                return
-            child = node[2].get(d)
-            if child is None:
-                node[2][d] = [bits, [(size, who)], {}]
-                return
-            node = child
-
-    def near(self, bits: int, size: int, threshold: float) -> Iterator[int]:
-        """Ids whose size and distance allow the threshold."""
-        if self.root is None:
-            return
-        reach = radius(size, floor(size / threshold + 1e-9), threshold)
-        low, high = size * threshold - 1e-9, size / threshold + 1e-9
-        stack = [self.root]
-        while stack:
-            at, members, children = stack.pop()
-            d = (at ^ bits).bit_count()
-            if d <= reach:
-                for m, who in members:
-                    if low <= m <= high and d <= radius(size, m, threshold):
-                        yield who
-            if children:
-                if len(children) <= 2 * reach + 1:
-                    stack.extend(c for e, c in children.items() if d - reach <= e <= d + reach)
-                else:
-                    stack.extend(children[e] for e in range(d - reach, d + reach + 1) if e in children)
-
-
-def shard_keys(ordered: list[int], threshold: float) -> list[int]:
-    """Keys of which any two similar sets share one. ordered: the set's word hashes, rarest first.
-
-    Similar sets share a word within their prefixes, and two words within prefixes one longer.
-    Pairs of words make far smaller shards but their number grows with the square of the
-    set, so they serve pairs whose smaller set has up to PAIR_LIMIT words, single words the rest.
+    A set of n words shares at least threshold * n with any similar set, and 2 * threshold / (1 + threshold) * n with one that isn't smaller.
     """
-    n = len(ordered)
-    prefix = n - ceil(threshold * n - 1e-9) + 1
-    keys = []
-    if n * threshold <= PAIR_LIMIT + 1e-9:
-        p = ordered[: prefix + 1]
-        keys = [(a * 0x9E3779B97F4A7C15 ^ b) & _MASK for i, a in enumerate(p) for b in p[i + 1 :]]
-    if n > PAIR_LIMIT:
-        keys += [a & _MASK for a in ordered[:prefix]]
-    return keys
-
-
-def word_classes(records: DataFrame, min_words: int) -> DataFrame:
-    """memory_id, rep, words: each record and its class of equal word sets, named by the smallest id."""
-    sets = records.select(F.col("memory_id").cast("long"), word_set(F.col("content")).alias("words")).where(F.col("memory_id").isNotNull() & (F.size("words") >= min_words)).distinct()
-    reps = sets.groupBy("words").agg(F.min("memory_id").alias("rep"))
-    return sets.join(reps, "words").select("memory_id", "rep", "words")
-
-
-def similar_classes(reps: DataFrame, threshold: float) -> DataFrame:
-    """rep_a < rep_b: the pairs of classes at the threshold or above. reps: rep, words."""
-    spark = reps.sparkSession
-    slot = F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).cast("int").alias("slot")
-    counted = reps.select(F.explode("words").alias("word")).groupBy(slot).count().collect()  # at most COUNTERS rows
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    for r in counted:
-        counts[r["slot"]] = r["count"]
-    shared = spark.sparkContext.broadcast(counts)
-    slots = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(COUNTERS)).cast("int"))
+    return n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
+def _first(offsets: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(sets, 2) words of 64 bits: the parity of each bit over a set's word hashes. No set is empty."""
+    bit = np.uint64(1) << (hashes & 63).astype(np.uint64)
+    high = (hashes & 64).astype(bool)
+    zero = np.uint64(0)
+    return np.stack([np.bitwise_xor.reduceat(np.where(high, zero, bit), offsets[:-1]), np.bitwise_xor.reduceat(np.where(high, bit, zero), offsets[:-1])], axis=1)
+
+
+class BKForest:
+    """The BK-trees of many shards. Nodes are rows of `bits`; children are keyed by their integer distance to the parent."""
+
+    def __init__(self, bits: np.ndarray, shard: np.ndarray, rows: np.ndarray):
+        """rows: those that enter the tree of their shard, in this order."""
+        self.bits = bits
+        keys, first = np.unique(shard[rows], return_index=True)
+        self.shards, self.roots = keys, rows[first]
+        self.size = np.bincount(np.searchsorted(keys, shard[rows]), minlength=len(keys))
+        at = self.roots[np.searchsorted(keys, shard[rows])]
+        wait = at != rows
+        rows, at = rows[wait], at[wait]
+        edges, children = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(rows):  # one level of all trees a turn
+            slot = at * 129 + self.distance(rows, at)
+            taken, first, place = np.unique(slot, return_index=True, return_inverse=True)
+            edges.append(taken)
+            children.append(rows[first])
+            at = rows[first][place]
+            wait = at != rows
+            rows, at = rows[wait], at[wait]
+        edge, child = np.concatenate(edges), np.concatenate(children)
+        o = np.argsort(edge, kind="stable")
+        self.edge, self.child = edge[o], child[o]
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1, dtype=np.int64)
+
+    def near(self, asks: np.ndarray, shard: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(asker, node) of all nodes that are not larger than the asker and whose size and distance allow the threshold. asks: rows; shard and size are of all rows."""
+        found_q, found_m = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if not len(self.shards):
+            return found_q[0], found_m[0]
+        spot = np.minimum(np.searchsorted(self.shards, shard[asks]), len(self.shards) - 1)
+        there = self.shards[spot] == shard[asks]
+        asks, spot = asks[there], spot[there]
+        load = np.cumsum(self.size[spot])
+        cuts = np.searchsorted(load, np.arange(STEP, int(load[-1]) + STEP if len(load) else 0, STEP), "right")
+        for part in np.split(np.arange(len(asks)), np.unique(cuts)):
+            q, m = asks[part], self.roots[spot[part]]
+            while len(q):
+                d = self.distance(q, m)
+                n = size[q]
+                fits = (size[m] <= n) & (size[m] >= threshold * n - 1e-9) & (d <= radius(n, size[m], threshold))
+                found_q.append(q[fits])
+                found_m.append(m[fits])
+                reach = radius(n, n, threshold)  # no smaller partner allows more
+                a = np.searchsorted(self.edge, m * 129 + np.maximum(d - reach, 0), "left")
+                b = np.searchsorted(self.edge, m * 129 + np.minimum(d + reach, 128), "right")
+                count = b - a
+                q = np.repeat(q, count)
+                m = self.child[np.repeat(a - (np.cumsum(count) - count), count) + np.arange(len(q))]
+        return np.concatenate(found_q), np.concatenate(found_m)
+
+
+def word_classes(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, h) of every class of equal word sets, h its word hashes, and (memory_id, rep) of its records.
+
+    A class is named by its smallest id; where an id with several contents would name two classes, they are named by a hash of the set.
+    """
+    words = records.select(F.col("memory_id").cast("long"), words_of(F.col("content")).alias("words")).where(F.col("memory_id").isNotNull() & (F.size("words") >= min_words))
+    key = F.unhex(F.substring(F.sha2(F.array_join("words", " "), 256), 1, 32)).alias("key")
+    sets = words.select("memory_id", key, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    classes = materialize(sets.groupBy("key").agg(F.min("memory_id").alias("rep"), F.min("h").alias("h")), "word-classes")
+    twice = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", F.lit(True).alias("twice"))
+    twice = materialize(twice, "several-contents")
+    if not twice.isEmpty():
+        classes = classes.join(twice, "rep", "left").select("key", F.when(F.col("twice"), F.xxhash64("key")).otherwise(F.col("rep")).alias("rep"), "h")
+    members = sets.select("memory_id", "key").distinct().join(classes.select("key", "rep"), "key").select("memory_id", "rep")
+    return classes.select("rep", "h"), materialize(members, "class-members")
+
+
+MEMBERS = "key long, rep long, n int, found boolean, lo long, hi long"
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
-        cache: dict[str, int] = {}
+
+def _shard_members(counts, threshold: float, above: int = 0):
+    """A row for every rare word of every class by which it asks; `found` where it is in the tree too. above: only words with more occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
         for b in batches:
-            ids, sizes, bits, out = [], [], [], []
-            for rep, words, places in zip(b.column("rep").to_pylist(), b.column("words").to_pylist(), b.column("slots").to_pylist()):
-                hashes = []
-                for w in words:
-                    h = cache.get(w)
-                    if h is None:
-                        h = cache[w] = _hash(w)
-                    hashes.append(h)
-                if len(cache) > 500_000:
-                    cache.clear()
-                order = [h for _, h in sorted(zip(rarity[places].tolist(), hashes))]
-                ks = sorted(set(shard_keys(order, threshold)))
-                raw = sketch(hashes).to_bytes(16, "little")
-                out += ks
-                ids += [rep] * len(ks)
-                sizes += [len(words)] * len(ks)
-                bits += [raw] * len(ks)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["key", "rep", "n", "sketch"])
-
-    members = reps.select("rep", "words", slots.alias("slots")).mapInArrow(keys, "key long, rep long, n int, sketch binary")
-    # Keys of one member only are most; they leave before the sort. Shards over a block are divided into cells of two blocks.
-    members = materialize(members, "shard-members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = members.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key",
-        F.least("block", "other").alias("lo"),
-        F.greatest("block", "other").alias("hi"),
-        (F.col("block") >= F.col("other")).alias("in_tree"),
-        (F.col("block") <= F.col("other")).alias("asks"),
-        "rep",
-        "n",
-        "sketch",
-    )
-    work = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, found = None, [], set()
-
-        def close() -> None:
-            if len(held) < 2:
-                return
-            same = cell[1] == cell[2]
-            tree = BKTree()
-            if same:
-                for n, bits, rep, _, _ in held:
-                    found.update((min(rep, x), max(rep, x)) for x in tree.near(bits, n, threshold) if x != rep)
-                    tree.add(bits, n, rep)
-            else:
-                for n, bits, rep, in_tree, _ in held:
-                    if in_tree:
-                        tree.add(bits, n, rep)
-                for n, bits, rep, _, asks in held:
-                    if asks:
-                        found.update((min(rep, x), max(rep, x)) for x in tree.near(bits, n, threshold) if x != rep)
+            if not b.num_rows:
+                continue
+            col = b.column("h")
+            h, offsets = col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())])
+            n, row = np.diff(offsets), _first(offsets)
+            bits = sketches(h, offsets)
+            many = often[np.mod(h, len(often))]
+            o = np.lexsort((h, many, row))
+            h, many = h[o], many[o]
+            place = np.arange(len(h)) - offsets[row]
+            held, asked = prefixes(n, threshold)
+            keep = (place < asked[row]) & (many > max(1, above))  # a word of one class only joins nothing
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[keep]), b.column("rep").take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array((place < held[_first(offsets)])[keep]), pa.array(bits[row, 0].view(np.int64)), pa.array(bits[row, 1].view(np.int64))],
+                names=[c.split()[0] for c in MEMBERS.split(", ")],
+            )
+
+    return run
+
+
+def _search(threshold: float):
+    """Grow and search the trees of the shards in a sorted partition; a shard may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def answer(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            col = lambda c: t.column(c).to_numpy()
+            cell = np.stack([col("key"), col("i"), col("j")])
+            shard = np.cumsum(np.concatenate([[0], (cell[:, 1:] != cell[:, :-1]).any(axis=0)]))
+            rep, n, held, asks = col("rep"), col("n").astype(np.int64), col("held"), col("asks")
+            bits = np.stack([col("lo").view(np.uint64), col("hi").view(np.uint64)], axis=1)
+            q, m = BKForest(bits, shard, np.flatnonzero(held)).near(np.flatnonzero(asks), shard, n, threshold)
+            other = rep[q] != rep[m]
+            a, b = np.minimum(rep[q], rep[m])[other], np.maximum(rep[q], rep[m])[other]
+            if len(a):
+                pairs = np.unique(np.stack([a, b]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["rep_a", "rep_b"])
 
         for b in batches:
-            raw = b.column("sketch").to_pylist()
-            for key, lo, hi, in_tree, asks, rep, n, s in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "in_tree", "asks", "rep", "n")), raw):
-                if (key, lo, hi) != cell:
-                    close()
-                    cell, held = (key, lo, hi), []
-                held.append((n, int.from_bytes(s, "little"), rep, in_tree, asks))
-            if len(found) > 50_000:
-                yield _pairs(found)
-                found.clear()
-        close()
-        if found:
-            yield _pairs(found)
-
-    pairs = work.mapInArrow(search, "rep_a long, rep_b long").distinct()
-    a = reps.select(F.col("rep").alias("rep_a"), F.col("words").alias("words_a"))
-    b = reps.select(F.col("rep").alias("rep_b"), F.col("words").alias("words_b"))
-    both = F.size(F.array_intersect("words_a", "words_b"))
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            cell = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+            last = np.flatnonzero((cell != cell[:, -1:]).any(axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from answer(t.slice(0, cut).combine_chunks())
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from answer(rest.combine_chunks())
+
+    return run
+
+
+def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """rep_a < rep_b: the pairs of classes at the threshold or above. classes: rep, h.
+
+    Word counts come to the driver in COUNTERS slots at most. Shards over BLOCK members are divided into cells of two blocks.
+    """
+    spark = classes.sparkSession
+    slot = F.pmod("word", F.lit(COUNTERS)).cast("int").alias("slot")
+    counted = classes.select(F.explode("h").alias("word")).groupBy(slot).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[counted["slot"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    shared = spark.sparkContext.broadcast(counts)
+    rows = classes.mapInArrow(_shard_members(shared, threshold), MEMBERS)
+    work = ["key", "i", "j", "rep", "n", "held", "asks", "lo", "hi"]
+    one = F.lit(0)
+    plain = lambda r: r.select("key", one.alias("i"), one.alias("j"), "rep", "n", F.col("found").alias("held"), F.lit(True).alias("asks"), "lo", "hi")
+    cells = plain(rows)
+    hot = None
+    if counts.max(initial=0) > BLOCK:  # only then can a shard be larger
+        heavy = classes.mapInArrow(_shard_members(shared, threshold, BLOCK), MEMBERS).select("key", "found")
+        hot = materialize(heavy.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("found").cast("long")).alias("trees")).where(F.col("size") > BLOCK), "hot-shards")
+        hot = None if hot.isEmpty() else hot
+    if hot is not None:
+        parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        large = rows.join(hot, "key").withColumn("block", F.xxhash64("rep"))
+        until = lambda c: F.sequence(F.lit(0), F.greatest(parts(c) - 1, F.lit(0)))
+        tree = large.where("found").select("key", F.pmod("block", F.greatest(parts("trees"), F.lit(1))).cast("int").alias("i"), F.explode(until("size")).alias("j"), "rep", "n", F.lit(True).alias("held"), F.lit(False).alias("asks"), "lo", "hi")
+        ask = large.where("trees > 0").select("key", F.explode(until("trees")).alias("i"), F.pmod("block", parts("size")).cast("int").alias("j"), "rep", "n", F.lit(False).alias("held"), F.lit(True).alias("asks"), "lo", "hi")
+        cells = plain(rows.join(hot.select("key"), "key", "left_anti")).unionByName(tree).unionByName(ask)
+    ordered = cells.select(work).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = ordered.mapInArrow(_search(threshold), "rep_a long, rep_b long").distinct()
+    a = classes.select(F.col("rep").alias("rep_a"), F.col("h").alias("h_a"))
+    b = classes.select(F.col("rep").alias("rep_b"), F.col("h").alias("h_b"))
+    both = F.size(F.array_intersect("h_a", "h_b"))
     checked = pairs.join(a, "rep_a").join(b, "rep_b").withColumn("both", both)
-    return checked.where(F.col("both") >= F.lit(threshold) * (F.size("words_a") + F.size("words_b") - F.col("both")) - 1e-9).select("rep_a", "rep_b")
-
-
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["rep_a", "rep_b"])
+    return checked.where(F.col("both") >= F.lit(threshold) * (F.size("h_a") + F.size("h_b") - F.col("both")) - 1e-9).select("rep_a", "rep_b")
 
 
 def near_duplicate_pairs(records: DataFrame, threshold: float = 0.7, min_words: int = 6) -> DataFrame:
@@ -225,10 +239,8 @@ def near_duplicate_pairs(records: DataFrame, threshold: float = 0.7, min_words:
     nothing; records with equal word sets are pairs; repeated rows count once; an id with
     several contents is compared by each; a null id is ignored; an empty table gives no rows.
     """
-    members = materialize(word_classes(records, min_words), "word-classes")
-    reps = members.where("memory_id = rep").select("rep", "words")
-    links = similar_classes(reps, threshold)
-    ids = members.select("memory_id", "rep").distinct()
+    classes, ids = word_classes(records, min_words)
+    links = similar_classes(classes, threshold)
     a, b = ids.select(F.col("memory_id").alias("x"), F.col("rep").alias("rep_a")), ids.select(F.col("memory_id").alias("y"), F.col("rep").alias("rep_b"))
     across = links.join(a, "rep_a").join(b, "rep_b").where("x <> y")
     inside = a.join(b.withColumnRenamed("rep_b", "rep_a"), "rep_a").where("x < y")
@@ -243,9 +255,8 @@ def near_duplicate_groups(records: DataFrame, threshold: float = 0.7, min_words:
     labels, and each record takes its class's label. n_links counts the class's links to
     other classes. Records without links and copies are left out.
     """
-    members = materialize(word_classes(records, min_words), "word-classes")
-    reps = members.where("memory_id = rep").select("rep", "words")
-    links = materialize(similar_classes(reps, threshold), "class-links")
+    classes, copies = word_classes(records, min_words)
+    links = materialize(similar_classes(classes, threshold), "class-links")
     edges = links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).union(links.select(F.col("rep_b"), F.col("rep_a")))
     labels = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count(F.lit(1)).alias("n_links"))
     labels = materialize(labels, "labels")
@@ -260,7 +271,8 @@ def near_duplicate_groups(records: DataFrame, threshold: float = 0.7, min_words:
             break
     else:
         raise RuntimeError(f"labels still move after {max_rounds} rounds")
-    copies = members.select("memory_id", "rep").distinct()
     multi = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     known = copies.join(labels.withColumnRenamed("a", "rep"), "rep", "left").join(multi, "rep", "left")
-    return known.where("label IS NOT NULL OR copies IS NOT NULL").select("memory_id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = known.where("label IS NOT NULL OR copies IS NOT NULL").select("memory_id", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    smallest = named.groupBy("label").agg(F.min("memory_id").alias("group_id"))
+    return named.join(smallest, "label").select("memory_id", "group_id", "n_links")

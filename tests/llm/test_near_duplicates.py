@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lectern.llm import near_duplicates as nd
 
 SCHEMA = "memory_id long, content string, rep int, words string, key int"
@@ -40,7 +42,6 @@ def test_pairs_equal_brute_force(spark):
 
 def test_long_sets_and_split_shards(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 8)
-    monkeypatch.setattr(nd, "PAIR_LIMIT", 15)
     rows = corpus(2, 200, 60)
     assert {tuple(r) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()} == brute(rows)
 
@@ -74,13 +75,27 @@ def test_groups_are_components(spark):
     assert got == {i: top(i) for i in parent}
 
 
-def test_tree_finds_all_within_the_radius():
-    rnd = random.Random(5)
-    tree, held = nd.BKTree(), []
-    for i in range(400):
-        bits = rnd.getrandbits(128) if i % 3 else held[rnd.randrange(len(held))][0] ^ (1 << rnd.randrange(128)) if held else 0
-        tree.add(bits, 20, i)
-        held.append((bits, i))
-    for bits, i in held[:50]:
-        near = set(tree.near(bits, 20, 0.7))
-        assert {j for b, j in held if (b ^ bits).bit_count() <= nd.radius(20, 20, 0.7)} == near
+def test_trees_find_all_within_the_radius(monkeypatch):
+    monkeypatch.setattr(nd, "STEP", 500)
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 1 << 63, (600, 2), dtype=np.uint64)
+    for i in range(100, 600):  # near one before, or equal to it
+        if i % 3:
+            bits[i] = bits[rng.integers(i)]
+            for _ in range(i % 7):
+                bits[i, rng.integers(2)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    shard, size = np.sort(rng.integers(0, 5, 600)), rng.integers(15, 25, 600)
+    held, asks = np.flatnonzero(rng.random(600) < 0.7), np.flatnonzero(rng.random(600) < 0.8)
+    q, m = nd.BKForest(bits, shard, held).near(asks, shard, size, 0.7)
+    d = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+    want = {(i, j) for i in asks for j in held if shard[i] == shard[j] and 0.7 * size[i] <= size[j] <= size[i] and d[i, j] <= nd.radius(size[i], size[j], 0.7)}
+    assert set(zip(q.tolist(), m.tolist())) == want and len(q) == len(want) > 300
+
+
+def test_an_id_with_several_contents_names_no_two_classes(spark):
+    a, b = "one two three four five six seven", "red blue green black white brown pink"
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a + " eight")]
+    got = {tuple(r) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (2, 4)}
+    groups = {(r["memory_id"], r["group_id"]) for r in nd.near_duplicate_groups(frame(spark, rows)).collect()}
+    assert groups == {(1, 1), (2, 1), (3, 1), (4, 1)}
