@@ -3,6 +3,9 @@
 The n-grams of the held-out items form a broadcast hash set. Training texts are
 scanned in Arrow batches: words become the items' word numbers, windows get a
 rolling hash, hits are verified word by word.
+
+Evaluation sets too large for a broadcast are joined instead, with one scan of the corpus: windows that
+pass a Bloom filter of fixed size meet the items' n-grams in an equi-join on the words themselves.
 """
 
 from __future__ import annotations
@@ -12,9 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import materialize
+
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,32 +94,88 @@ def _window_hashes(numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def _blocks(items: DataFrame, max_chars: int) -> list[list[tuple[int, str]]]:
-    """The items in driver-sized blocks: the total size is checked first, and beyond the bound they come block by block."""
-    src = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).dropDuplicates()
-    total = src.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // max_chars)
-    if n <= 1:
-        return [[(r[0], r[1]) for r in src.collect()]]
-    return [[(r[0], r[1]) for r in src.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)) == k).collect()] for k in range(2 * n)]
+#: Bits of the filter in front of the join, 8 MB.
+FILTER_BITS = 1 << 26
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 13, max_broadcast_chars: int = 20_000_000) -> DataFrame:
     """doc_id, item_id, start, end (character offsets, end excluded), one row per maximal run of shared n-grams.
 
-    The broadcast holds at most max_broadcast_chars characters of items at a time; larger
-    evaluation sets are scanned block by block, never dropped. Defined cases: null, empty
+    Items of up to max_broadcast_chars characters in all are broadcast; larger sets are joined, never dropped, and
+    the corpus is scanned once either way. Defined cases: null, empty
     and blank texts and items of fewer than n words match nothing; an item leaking twice
     into a document gives two rows; repeated rows of either table add nothing; with no
     items or documents the result is empty; further columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    parts = [_scan(docs, spark.sparkContext.broadcast(GramSet(block, n))) for block in _blocks(items, max_broadcast_chars)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates()
+    src = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).dropDuplicates()
+    if (src.agg(F.sum(F.length("text"))).first()[0] or 0) <= max_broadcast_chars:
+        return _scan(docs, spark.sparkContext.broadcast(GramSet([(r[0], r[1]) for r in src.collect()], n))).dropDuplicates()
+    return _joined(docs, src, n)
+
+
+def _places(gram_words: list[str], cache: dict[str, int]) -> np.ndarray:
+    """A hash of every word."""
+    out = []
+    for w in gram_words:
+        h = cache.get(w)
+        if h is None:
+            h = cache[w] = xxhash.xxh64_intdigest(w)
+        out.append(h)
+    if len(cache) > 500_000:
+        cache.clear()
+    return np.asarray(out, dtype=np.uint64)
+
+
+def _joined(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """leaked_spans for evaluation sets of any size."""
+
+    def slots(ws: list[str], cache: dict[str, int]) -> np.ndarray:
+        return (_rolling(_places(ws, cache), n) >> np.uint64(20)) % np.uint64(FILTER_BITS)
+
+    def item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        for b in batches:
+            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+                ws = words(text)
+                if len(ws) >= n:
+                    s = slots(ws, cache)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), item)), pa.array(s.astype(np.int64)), pa.array([" ".join(ws[i : i + n]) for i in range(len(s))])], names=["item_id", "slot", "gram"])
+
+    grams = materialize(items.mapInArrow(item_grams, "item_id long, slot long, gram string").distinct(), "item-grams")
+    word = (F.col("slot").bitwiseAND(F.lit(63))).cast("int")
+    packed = grams.select(F.shiftright("slot", 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), word).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[packed["at"].to_numpy(dtype=np.int64)] = packed["bits"].to_numpy(dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cache = shared.value, {}
+        for b in batches:
+            rows, at, starts, ends, texts = [], [], [], [], []
+            for r, text in enumerate(b.column("text").to_pylist()):
+                ws = words(text)
+                if len(ws) < n:
+                    continue
+                s = slots(ws, cache)
+                hit = np.flatnonzero(known[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1))
+                if len(hit):
+                    spot = [m.span() for m in WORD.finditer(text.lower())] if len(text.lower()) == len(text) else _spans(text)
+                for k in hit.tolist():
+                    rows.append(r)
+                    at.append(k)
+                    starts.append(spot[k][0])
+                    ends.append(spot[k + n - 1][1])
+                    texts.append(" ".join(ws[k : k + n]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), b.column("text_key").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "text_key", "k", "start", "end", "gram"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))  # an id may have several texts: runs don't cross them
+    hits = keyed.mapInArrow(windows, f"doc_id {kind}, text_key long, k int, start int, end int, gram string").join(grams.select("gram", "item_id"), "gram").drop("gram").distinct()
+    by = Window.partitionBy("doc_id", "text_key", "item_id").orderBy("k")
+    runs = hits.withColumn("run", F.col("k") - F.row_number().over(by)).groupBy("doc_id", "text_key", "item_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.select("doc_id", "item_id", "start", "end").distinct()
 
 
 def _scan(docs: DataFrame, shared) -> DataFrame:

@@ -57,3 +57,15 @@ def test_spans_are_cut(spark):
     assert got[1]["text"].startswith("before  after") and not got[1]["dropped"]
     assert got[2]["dropped"] and got[2]["text"] is None
     assert leak not in got[3]["text"] and got[3]["removed"] == len(leak)
+
+
+def test_joined_items_equal_broadcast_ones(spark):
+    """Beyond the bound: the same spans, from one scan of the documents."""
+    item = " ".join(words(0, 20))
+    docs = [(1, "Intro. " + ", ".join(words(3, 16)).upper() + " end"), (3, None), (4, ""), (5, "İ " + " ".join(words(0, 13) + ["x"] + words(2, 20))), (6, item + " " + item), (6, "y " + item), (6, item + " " + item)]
+    items = [(7, item), (8, None), (9, "too short"), (10, item), (7, item), (11, " ".join(words(2, 18)))]
+    spans = lambda **kw: sorted(tuple(r) for r in run(spark, docs, items, **kw).select("doc_id", "item_id", "start", "end").collect())
+    assert spans(max_broadcast_chars=10) == spans() and len(spans()) > 8
+    plan = run(spark, docs, items, max_broadcast_chars=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert run(spark, [], items, max_broadcast_chars=10).count() == 0
