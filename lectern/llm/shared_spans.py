@@ -7,6 +7,9 @@ minimisers, so every bucket is counted on its own, by sorting its windows.
 
 Minimisers that occur in one record only can't hold a shared window. They are found
 first, from 16 bytes per super-k-mer, and only strings of shared minimisers travel.
+
+A bucket of more than HOT super-k-mers (a licence text in very many records) never comes to one
+task: its windows travel singly, as two hashes of 64 bits, and are counted by Spark's aggregation.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from lectern.session import materialize
 
 GRAM = 32
 HOT = 512
-SLICE = 8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -33,10 +35,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(codes: np.ndarray, k: int, mult: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of every k-gram, from hashes of half the size."""
-    h, size, out, done = _mix(codes.astype(np.uint64) + np.uint64(1)), 1, None, 0
-    mult = np.uint64(0x9E3779B97F4A7C15)
+    mult = np.uint64(mult)
+    h, size, out, done = _mix(codes.astype(np.uint64) + (mult >> np.uint64(32))), 1, None, 0
     n = len(codes)
     while True:
         if k & size:
@@ -97,56 +99,54 @@ def _minimisers(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _packed(docs: DataFrame, length: int) -> DataFrame:
-    """The packed strings: bucket, part, doc_id, start, packed. Input rows have spans (bucket, start, windows, hot).
-
-    A hot bucket is divided exactly: by the window's distance from the minimiser, which equal
-    windows share, in slices of SLICE windows, and by the hash of the characters that all
-    windows of a slice have in common.
-    """
+    """The packed strings: bucket, doc_id, start, packed. Input rows have spans (bucket, start, windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, buckets, parts, starts, texts = [], [], [], [], []
+            rows, buckets, starts, texts = [], [], [], []
             for i, (text, spans) in enumerate(zip(b.column("text").to_pylist(), b.column("spans").to_pylist())):
-                grams = None
                 for s in spans:
-                    a, n = s["start"], s["windows"]
-                    if not s["hot"]:
-                        rows.append(i)
-                        buckets.append(s["bucket"])
-                        parts.append(0)
-                        starts.append(a)
-                        texts.append(text[a : a + n + length - 1])
-                        continue
-                    if grams is None:
-                        grams = gram_hashes(_codes(text), GRAM).astype(np.int64)
-                    spots = np.flatnonzero(grams[a : a + n + length - GRAM] == s["bucket"]) + a
-                    for w in range(a, a + n):
-                        spot = int(spots[np.searchsorted(spots, w)])  # the first minimiser in the window: equal windows agree on it
-                        if w > a and spot == last and (spot - w) // SLICE == slice_:
-                            texts[-1] = text[starts[-1] : w + length]
-                            continue
-                        last, slice_ = spot, (spot - w) // SLICE
-                        low = spot - (slice_ * SLICE)
-                        core = text[low : low + length - SLICE]
-                        rows.append(i)
-                        buckets.append(s["bucket"])
-                        parts.append(int(np.int64(np.uint64(_fold(core)) ^ np.uint64(slice_ + 1))))
-                        starts.append(w)
-                        texts.append(text[w : w + length])
+                    a = s["start"]
+                    rows.append(i)
+                    buckets.append(s["bucket"])
+                    starts.append(a)
+                    texts.append(text[a : a + s["windows"] + length - 1])
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets, pa.int64()), pa.array(parts, pa.int64()), b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(texts, pa.string())],
-                    names=["bucket", "part", "doc_id", "start", "packed"],
+                    [pa.array(buckets, pa.int64()), b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(texts, pa.string())], names=["bucket", "doc_id", "start", "packed"]
                 )
 
-    return docs.mapInArrow(run, "bucket long, part long, doc_id long, start int, packed string")
+    return docs.mapInArrow(run, "bucket long, doc_id long, start int, packed string")
 
 
-def _fold(text: str) -> int:
-    import xxhash
+def _windows(docs: DataFrame, length: int) -> DataFrame:
+    """h1, h2, doc_id, start: the windows of the spans one by one, by two hashes (equal windows: equal hashes; others agree with a chance of 2^-128)."""
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (text, spans) in enumerate(zip(b.column("text").to_pylist(), b.column("spans").to_pylist())):
+                codes = _codes(text)
+                at = np.concatenate([np.arange(s["start"], s["start"] + s["windows"]) for s in spans])
+                h1, h2 = gram_hashes(codes, length)[at], gram_hashes(codes, length, 0xD6E8FEB86659FD93)[at]
+                doc = b.column("doc_id").take(pa.array(np.full(len(at), i)))
+                yield pa.RecordBatch.from_arrays([pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), doc, pa.array(at.astype(np.int32))], names=["h1", "h2", "doc_id", "start"])
+
+    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, start int")
+
+
+def _hot_shared(windows: DataFrame, length: int, want_pairs: bool) -> DataFrame:
+    """What _counted gives, of hot buckets. Windows of the same records are one group, of which one window stands for all; only its pairs are formed."""
+    windows = materialize(windows, "hot-windows")
+    none = F.lit(None)
+    if not want_pairs:
+        shared = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h1", "h2")
+        return windows.join(shared, ["h1", "h2"]).select(F.col("doc_id").alias("doc_a"), none.cast("long").alias("doc_b"), "start", (F.col("start") + length).alias("end"))
+    owners = windows.select("h1", "h2", "doc_id").distinct()
+    groups = owners.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("n > 1")
+    one = groups.groupBy("n", "x", "y").agg(F.min(F.struct("h1", "h2")).alias("w")).select("w.h1", "w.h2")
+    members = materialize(owners.join(one, ["h1", "h2"]), "hot-groups")
+    pairs = members.withColumnRenamed("doc_id", "doc_a").join(members.withColumnRenamed("doc_id", "doc_b"), ["h1", "h2"]).where("doc_a < doc_b")
+    return pairs.select("doc_a", "doc_b", none.cast("int").alias("start"), none.cast("int").alias("end")).distinct()
 
 
 def count_windows(strings: list[tuple[int, int, str]], length: int, want_pairs: bool = True) -> tuple[dict[tuple[int, int], list], set[tuple[int, int]]]:
@@ -196,8 +196,8 @@ def _runs(offsets: list[int]) -> list[tuple[int, int]]:
 
 
 def _counted(packed: DataFrame, length: int, want_pairs: bool) -> DataFrame:
-    """kind 0: doc_a, doc_b; kind 1: doc_a, with start and end of a run of shared windows."""
-    sorted_ = packed.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    """doc_a, doc_b; or, unless pairs are wanted, doc_a with start and end of a run of shared windows. No bucket has more than HOT strings."""
+    sorted_ = packed.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, seen = None, [], set()
@@ -216,10 +216,10 @@ def _counted(packed: DataFrame, length: int, want_pairs: bool) -> DataFrame:
                     rows.extend((d, None, s + a, s + e + length) for (d, s), offsets in shared.items() for a, e in _runs(offsets))
 
         for b in batches:
-            for bucket, part, doc, start, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "part", "doc_id", "start", "packed"))):
-                if (bucket, part) != key:
+            for bucket, doc, start, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "start", "packed"))):
+                if bucket != key:
                     close()
-                    key, held = (bucket, part), []
+                    key, held = bucket, []
                 held.append((doc, start, text))
             if len(rows) > 5_000:
                 yield _batch(rows)
@@ -260,8 +260,15 @@ def _shared_windows(docs: DataFrame, copies: DataFrame | None, length: int, want
         .where("lo <> hi")
         .select("bucket", (F.col("n") > hot).alias("hot"))
     )
-    spans = grams.join(buckets, "bucket").groupBy("doc_id").agg(F.collect_set(F.struct("bucket", "start", "windows", "hot")).alias("spans"))
-    return _counted(_packed(docs.join(spans, "doc_id"), length), length, want_pairs)
+    buckets = materialize(buckets, "shared-minimisers")
+
+    def spans(some: DataFrame) -> DataFrame:
+        mine = grams.join(some, "bucket").groupBy("doc_id").agg(F.collect_set(F.struct("bucket", "start", "windows")).alias("spans"))
+        return docs.join(mine, "doc_id")
+
+    found = _counted(_packed(spans(buckets.where("NOT hot").select("bucket")), length), length, want_pairs)
+    crowded = buckets.where("hot").select("bucket")
+    return found if crowded.isEmpty() else found.unionByName(_hot_shared(_windows(spans(crowded), length), length, want_pairs))
 
 
 def shared_pairs(documents: DataFrame, length: int = 300) -> DataFrame:

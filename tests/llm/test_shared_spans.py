@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -81,3 +82,18 @@ def test_lengths_form_no_pairs():
     strings = [(i, 0, "x" * 40 + f"{i:03d}") for i in range(50)]
     shared, pairs = shared_spans.count_windows(strings, 40, False)
     assert not pairs and shared == shared_spans.count_windows(strings, 40)[0] and len(shared) == 50
+
+
+def test_one_header_in_very_many_records(spark):
+    """A header of 400 characters in 20,000 records that differ otherwise: no pairs are formed and no bucket comes to one task."""
+    rnd = random.Random(3)
+    header = "".join(rnd.choices("abcdefghij", k=400))
+    tails = spark.range(20_000).selectExpr("id AS doc_id", f"concat('{header}', '#', sha2(cast(id AS string), 256)) AS text")
+    texts = sorted((r["text"], r["doc_id"]) for r in tails.collect())
+    common = [len(os.path.commonprefix([a[0], b[0]])) for a, b in zip(texts, texts[1:])]
+    want = {d: max(x) for (_, d), x in zip(texts, zip([0, *common], [*common, 0]))}
+    assert {r["doc_id"]: r["shared_chars"] for r in s.shared_lengths(tails).collect()} == want
+    few = s.shared_pairs(tails.where("doc_id % 40 = 0"))
+    assert few.count() == 500 * 499 // 2
+    few = s._shared_windows(s._texts(tails.where("doc_id % 20 = 0"), 300), None, 300, True)
+    assert few.select("doc_a", "doc_b").distinct().count() == 1000 * 999 // 2
