@@ -105,7 +105,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
         c.gaps = gaps
         if left and not progress:
             total = sum(s * n for s, (_, n) in left.items())
-            need = max(1, total // capacity)
+            need = max(1, -(-total // capacity))
             for size in sorted(left, reverse=True):
                 rank, n = left[size]
                 m = min(n, need)
@@ -155,11 +155,10 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
         histogram[r["size"]] += r["n"]
     placed, _ = plan(dict(histogram), capacity)
     runs = np.asarray(sorted(placed), dtype=np.int64).reshape(-1, 4)
-    key = runs[:, 0] * (1 << 42) + runs[:, 1]
-    recipe = spark.sparkContext.broadcast((key, runs[:, 1], runs[:, 3], before))
+    recipe = spark.sparkContext.broadcast((runs[:, 0].copy(), runs[:, 1].copy(), runs[:, 3].copy(), before))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ranks, first, before = recipe.value
+        sizes, ranks, first, before = recipe.value
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             if not b.num_rows:
@@ -172,7 +171,10 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
                 base.append(before.get((part, s), 0) + seen[s])
                 seen[s] += n
             rank = np.repeat(base, lengths) + np.arange(len(size)) - np.repeat(starts, lengths)
-            k = np.searchsorted(key, size * (1 << 42) + rank, "right") - 1
+            k = np.empty(len(size), dtype=np.int64)
+            low, high = np.searchsorted(sizes, size[starts], "left"), np.searchsorted(sizes, size[starts], "right")
+            for a, n, lo, hi in zip(starts.tolist(), lengths.tolist(), low.tolist(), high.tolist()):  # the runs of one size, by rank
+                k[a : a + n] = lo + np.searchsorted(ranks[lo:hi], rank[a : a + n], "right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first[k] + rank - ranks[k])], names=[*b.schema.names, "container"])
 
     return rows.mapInArrow(assign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, n_tokens int, container long")

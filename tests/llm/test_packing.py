@@ -63,3 +63,17 @@ def test_documents(spark):
     got = p.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), 2048).collect()
     assert {r["doc_id"] for r in got} == {1, 4, 5}
     assert sum(r["n_tokens"] for r in got if r["doc_id"] == 4) == len(p._encoding(p.TOKENIZER).encode_ordinary("word " * 5000))
+
+
+def test_sizes_of_millions(spark):
+    """Sizes beyond 2,097,152 and ranks among them keep their order."""
+    capacity = 4_194_304
+    sizes = [3_000_000] * 5 + [1_000_000] * 7 + [2_097_152] * 3 + [194_304] * 9 + [4_194_304, 9_000_000]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    rows = p.pack(df, capacity).collect()
+    fill = {}
+    for r in rows:
+        fill[r["container"]] = fill.get(r["container"], 0) + r["n_tokens"]
+    assert sum(fill.values()) == sum(sizes) and max(fill.values()) <= capacity
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) == len(sizes) + 2
+    assert sorted(fill) == list(range(len(fill))) and len(fill) <= -(-sum(sizes) // capacity) + 2
