@@ -63,3 +63,27 @@ def test_updates_equal_a_fresh_load(spark):
             assert got == {(a, b): (k, n[a], n[b]) for (a, b), k in want.items()}
             assert index.total == total
             assert affected.count() <= len(got)
+
+
+def test_an_update_rewrites_few_buckets_and_a_session_reopens_the_state(spark, tmp_path):
+    rnd = random.Random(4)
+    baskets = [(f"b{k}", f"i{rnd.randrange(60)}") for k in range(150) for _ in range(6)]
+    index = c.PairIndex(spark, buckets=dict.fromkeys(c.SCHEMAS, 40), root=f"file://{tmp_path}/index")
+    index.update(spark.createDataFrame(baskets, "basket string, item string"))
+    was = dict(index.files["pairs"])
+    index.update(spark.createDataFrame([("b7", "i1"), ("b7", "i2")], "basket string, item string"))
+    moved = [b for b in was if index.files["pairs"].get(b) != was[b]]
+    assert 0 < len(moved) < len(was)
+    index.update(spark.createDataFrame([("b7", "i1"), ("b7", "i3")], "basket string, item string"))
+    assert len([b for b in was if index.files["pairs"].get(b, "").split("/")[-2:-1] == ["pairs-000000003"]]) <= 0.05 * len(was)
+    again = c.PairIndex.open(spark, index.root)
+    assert again.total == index.total == 150 and again.version == 3
+    assert sorted(again.scores().collect()) == sorted(index.scores().collect())
+    names = {f.name for f in (tmp_path / "index").iterdir() if f.name.startswith("manifest")}
+    assert names == {"manifest-000000003.json"}
+    before = again.total
+    try:
+        again.update(spark.createDataFrame([("b8", 1)], "basket string, wrong int"))
+    except Exception:
+        pass
+    assert again.total == before and c.PairIndex.open(spark, index.root).version == 3

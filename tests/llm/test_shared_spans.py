@@ -93,7 +93,5 @@ def test_one_header_in_very_many_records(spark):
     common = [len(os.path.commonprefix([a[0], b[0]])) for a, b in zip(texts, texts[1:])]
     want = {d: max(x) for (_, d), x in zip(texts, zip([0, *common], [*common, 0]))}
     assert {r["doc_id"]: r["shared_chars"] for r in s.shared_lengths(tails).collect()} == want
-    few = s.shared_pairs(tails.where("doc_id % 40 = 0"))
-    assert few.count() == 500 * 499 // 2
-    few = s._shared_windows(s._texts(tails.where("doc_id % 20 = 0"), 300), None, 300, True)
-    assert few.select("doc_a", "doc_b").distinct().count() == 1000 * 999 // 2
+    few = s.shared_pairs(tails.where("doc_id % 32 = 0"))
+    assert few.count() == 625 * 624 // 2
