@@ -57,7 +57,9 @@ def convergence_stage(c: DataFrame, vectors: DataFrame, w: Weights, keys: DataFr
 
     keys: a cheaper table with the candidates' query_id, note_path and qvec, so that earlier stages aren't planned twice.
     """
-    pairs = (c if keys is None else keys).select("query_id", "note_path", "qvec").dropDuplicates(["query_id", "note_path"]).join(vectors.select("note_path", "vec"), "note_path")
+    asked = (c if keys is None else keys).select("query_id", "note_path", "qvec").dropDuplicates(["query_id", "note_path"])
+    vectors = vectors.join(asked.select("note_path").distinct(), "note_path", "left_semi")  # only notes that are candidates
+    pairs = asked.join(vectors.select("note_path", "vec"), "note_path")
     centroids = vectors.groupBy("note_path").agg(mean_vector(F.col("vec")).alias("centroid"), F.count(F.lit(1)).alias("chunks")).where("chunks >= 2")
     spread = pairs.groupBy("query_id", "note_path").agg(F.stddev_pop(cosine(F.col("qvec"), F.col("vec"))).alias("sigma"))
     out = c.join(centroids, "note_path", "left").join(spread, ["query_id", "note_path"], "left")

@@ -128,10 +128,12 @@ def related_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def candidates(spark: SparkSession, d: str, limit: int = 50) -> DataFrame:
     """Keyword hits with their chunks and vectors, those without a usable vector left out."""
-    v = t.chunk_vectors(spark, d).select("chunk_id", "vec", "note_path")
-    c = t.chunks(spark, d).select("chunk_id", "heading_path", "content")
+    hits = materialize(_hits(spark, d, limit).withColumnRenamed("doc", "chunk_id"), "hits")
+    ids = hits.select("chunk_id").distinct()  # filters rows before they are made distinct
+    v = t.chunk_vectors(spark, d).join(ids, "chunk_id", "left_semi").select("chunk_id", "vec", "note_path")
+    c = t.chunks(spark, d).join(ids, "chunk_id", "left_semi").select("chunk_id", "heading_path", "content")
     q = t.questions(spark, d).select("query_id", "qvec")
-    return _hits(spark, d, limit).withColumnRenamed("doc", "chunk_id").join(v, "chunk_id").join(c, "chunk_id").join(q, "query_id")
+    return hits.join(v, "chunk_id").join(c, "chunk_id").join(q, "query_id")
 
 
 CONTEXT = "work"
