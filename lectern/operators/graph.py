@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lectern.functions.text import wiki_links
@@ -72,6 +72,7 @@ def undirected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def neighbourhood(adjacency: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """start, path, hops: breadth-first, up to `depth` hops, many starts at once. starts: start."""
+    adjacency = materialize(adjacency.select("a", "b"), "adjacency") if depth > 1 else adjacency
     seen = starts.select("start", F.col("start").alias("path"), F.lit(0).alias("hops"))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -99,14 +100,16 @@ def structural_gaps(adjacency: DataFrame, top_k: int | None = 10, min_shared: in
 
 def components(nodes: DataFrame, adjacency: DataFrame, max_rounds: int = 60) -> DataFrame:
     """path, component (its smallest path): labels spread over links and jump along labels until none moves."""
+    adjacency = materialize(adjacency.select("a", "b"), "adjacency")
     labels = materialize(nodes.select("path", F.col("path").alias("component")).distinct(), "labels")
     for _ in range(max_rounds):
         got = adjacency.join(labels.select(F.col("path").alias("b"), "component"), "b").groupBy(F.col("a").alias("path")).agg(F.min("component").alias("got"))
         hop = labels.join(got, "path", "left").select("path", F.col("component").alias("old"), F.least("component", F.coalesce("got", "component")).alias("component"))
         jump = labels.select(F.col("path").alias("component"), F.col("component").alias("top"))
-        new = materialize(hop.join(jump, "component", "left").select("path", "old", F.coalesce("top", "component").alias("component")), "labels")
-        labels = new.select("path", "component")
-        if new.where("old <> component").limit(1).count() == 0:
+        moved = Observation()  # counted while the labels are written
+        new = hop.join(jump, "component", "left").select("path", "old", F.coalesce("top", "component").alias("component"))
+        labels = materialize(new.observe(moved, F.count_if(F.col("old") != F.col("component")).alias("n")).select("path", "component"), "labels")
+        if not moved.get["n"]:
             return labels
     raise RuntimeError(f"components still change after {max_rounds} rounds")
 
@@ -184,13 +187,17 @@ def _betweenness_joins(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
     return nodes.select("path").distinct().join(part, "path", "left").select("path", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def articulation(nodes: DataFrame, adjacency: DataFrame, candidates: DataFrame) -> DataFrame:
+def articulation(nodes: DataFrame, adjacency: DataFrame, candidates: DataFrame, max_candidates: int = 1000) -> DataFrame:
     """path, fragments: components left when the candidate (column path) is removed, for all candidates at once.
 
-    Labels carry the removed note, so all removals spread in one loop.
+    Labels carry the removed note, so all removals spread in one loop. Every removal is a graph of its own, so the
+    candidates are a short list: more than max_candidates are refused, and the list is broadcast.
     """
-    cands = candidates.select(F.col("path").alias("gone")).distinct()
-    space = cands.join(nodes.select("path").distinct(), F.col("gone") != F.col("path"))
+    cands = materialize(candidates.select(F.col("path").alias("gone")).distinct(), "candidates")
+    if cands.count() > max_candidates:
+        raise ValueError(f"more than {max_candidates} candidates: each needs the components of a whole graph")
+    cands = F.broadcast(cands)
+    space = nodes.select("path").distinct().join(cands, F.col("gone") != F.col("path"))
     ids = space.select(F.concat_ws("\u0001", "gone", "path").alias("path"))
     adj = adjacency.join(cands, (F.col("gone") != F.col("a")) & (F.col("gone") != F.col("b")))
     key = lambda c: F.concat_ws("\u0001", "gone", c)

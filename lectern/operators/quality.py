@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.sequence import numbered
+
 
 def rate_limited(errors: DataFrame, seconds: int = 3600) -> DataFrame:
     """Errors that are logged: per note and type, one until an hour has passed since the last logged one.
 
-    Which row counts depends on the one that counted before, so each key's ordered times are folded in the JVM.
+    Which row counts depends on the one that counted before, so each key's sorted times are walked with the last one that counted; nothing else is held.
     """
-    at = F.unix_micros(F.col("detected_at").cast("timestamp"))
-    rows = errors.groupBy("note_path", "error_type").agg(F.array_sort(F.collect_list(at)).alias("times"))
-    gap = F.lit(seconds * 1_000_000)
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) >= gap), F.concat(acc, F.array(x))).otherwise(acc)
-    kept = F.aggregate("times", F.array().cast("array<bigint>"), step)
-    return rows.select("note_path", "error_type", F.explode(kept).alias("us")).select("note_path", "error_type", F.timestamp_micros("us").cast("timestamp_ntz").alias("detected_at"))
+    keys = ["note_path", "error_type"]
+    rows = errors.select(*keys, F.unix_micros(F.col("detected_at").cast("timestamp")).alias("us")).repartition(*keys).sortWithinPartitions(*keys, "us")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, gap = None, None, seconds * 1_000_000
+        for b in batches:
+            keep = []
+            for at, row in enumerate(zip(*(b.column(c).to_pylist() for c in (*keys, "us")))):
+                if row[:2] != key:
+                    key, last = row[:2], None
+                if row[2] is not None and (last is None or row[2] - last >= gap):
+                    last = row[2]
+                    keep.append(at)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    kept = rows.mapInArrow(walk, "note_path string, error_type string, us long")
+    return kept.select(*keys, F.timestamp_micros("us").cast("timestamp_ntz").alias("detected_at"))
 
 
 def error_report(errors: DataFrame, least: int = 2) -> DataFrame:
@@ -86,9 +102,8 @@ def metrics(ranked: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
 
 
 def interleaved(rows: DataFrame, key: str = "query_id") -> DataFrame:
-    """Adds fold: even rows 0, odd rows 1, in key order within buckets of equal hash, so that no single task orders all rows."""
-    w = Window.partitionBy(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(64))).orderBy(key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(2)).cast("int"))
+    """Adds fold: in the order of the key, even rows (from 0) are fold 0, odd ones fold 1."""
+    return numbered(rows, None, key).withColumn("fold", F.pmod(F.col("nth") - 1, F.lit(2)).cast("int")).drop("nth")
 
 
 def folder_rollup(paths: DataFrame) -> DataFrame:

@@ -37,7 +37,26 @@ def recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
-@query()
+def _ablations() -> str:
+    """The ranker's SQL once for all signals and once without each."""
+    import re
+
+    passed = {"link_section": ("s1", "s0"), "convergence": ("s2", "s1"), "context": ("s3", "s2"), "hotness": ("s4", "s3"), "cooccurrence": ("s5", "s4"), "prediction_error": ("s6", "s5"), "lateral_inhibition": ("s7", "pool")}
+    own = ("s1d", "s1", "spread", "s2", "s3", "s4", "rawb", "boost", "s5", "s6", "best", "pool", "most", "s7", "ranked", "met")
+    every = {**r._FULL, "ranked": _RANKED, "lab": _LABELS, "met": _METRIC}
+    ctes = {k: v for k, v in every.items() if k not in own}
+    for i, signal in enumerate(("full", *passed)):
+        chain = {k: every[k] for k in own}
+        if signal in passed:
+            stage, before = passed[signal]
+            chain[stage] = f"SELECT * FROM {before}"
+        for k, v in chain.items():
+            ctes[f"{k}_{i}"] = re.sub(rf"\b({'|'.join(sorted(own, key=len, reverse=True))})\b(?= |\.|\)|$|\n)", lambda m: m[1] if m[1] in ("best", "most", "boost") and not re.search(r"(FROM|JOIN) $", v[: m.start()]) else f"{m[1]}_{i}", v)
+    runs = " UNION ALL ".join(f"SELECT '{s}' AS config, avg(recall) AS recall, avg(mrr) AS mrr, avg(ndcg) AS ndcg FROM met_{i}" for i, s in enumerate(("full", *passed)))
+    return sql("SELECT config, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, round((SELECT ndcg FROM runs WHERE config = 'full') - ndcg, 6) AS ndcg_loss FROM runs", **ctes, runs=runs)
+
+
+@query(_ablations())
 def ablation_delta(spark: SparkSession, d: str) -> DataFrame:
     """Mean quality of the full ranker and of each one without a signal, with the loss."""
     return tune.ablation(spark, d)
@@ -105,7 +124,7 @@ def export_notes(spark: SparkSession, d: str) -> DataFrame:
     return t.notes(spark, d).join(deg, "path", "left").join(facts, "path", "left").select("path", "title", "content_hash", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), text.alias("facts"))
 
 
-@query()
+@query(sql("SELECT query_id, ((row_number() OVER (ORDER BY query_id) - 1) % 2)::INT AS fold FROM v_questions"))
 def interleaved_split(spark: SparkSession, d: str) -> DataFrame:
     return quality.interleaved(t.questions(spark, d).select("query_id"))
 

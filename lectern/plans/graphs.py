@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import graph
 from lectern.registry import query
+from lectern.session import materialize
 from lectern.sources import tables as t
 from lectern.sources.tables import sql
 
@@ -20,12 +21,22 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return graph.undirected(_nodes(spark, d), t.note_edges(spark, d))
+    return materialize(graph.undirected(_nodes(spark, d), t.note_edges(spark, d)), "adjacency")
 
 
-@query(sql("SELECT source_path, target_path FROM v_edges"))
+@query(
+    """WITH p AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL),
+    l AS (SELECT path AS source_path, unnest(list_distinct(regexp_extract_all(text, '\\[\\[([^\\]|#]+?)(?:[|][^\\]]+?)?\\]\\]', 1))) AS link_text FROM documents WHERE path IS NOT NULL AND text IS NOT NULL),
+    e AS (SELECT key, max(path) AS path FROM (SELECT lower(path) AS key, path FROM p UNION ALL SELECT regexp_replace(lower(path), '\\.md$', ''), path FROM p) GROUP BY 1),
+    s AS (SELECT regexp_extract(regexp_replace(lower(path), '\\.md$', ''), '([^/]+)$', 1) AS key, min(path) AS path FROM p GROUP BY 1)
+    SELECT source_path, target_path, min(link_text) AS link_text FROM (
+      SELECT source_path, link_text, coalesce(e.path, s.path) AS target_path FROM l
+      LEFT JOIN e ON e.key = lower(trim(link_text)) LEFT JOIN s ON s.key = regexp_extract(lower(trim(link_text)), '([^/]+?)(?:\\.md)?$', 1))
+    WHERE target_path IS NOT NULL AND target_path <> source_path GROUP BY 1, 2"""
+)
 def edges_build(spark: SparkSession, d: str) -> DataFrame:
-    return t.note_edges(spark, d)
+    """The link graph of the documents, from their whole texts."""
+    return graph.build_edges(t.table(spark, d, "documents").where("path IS NOT NULL").select("path", "text"))
 
 
 @query(
@@ -86,13 +97,33 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(_nodes(spark, d), _adjacency(spark, d))
 
 
-@query()
+# Walks of each length; the first length that leads to a note counts the shortest paths. No distance here comes near 24.
+_BETWEEN = {
+    "known": _KNOWN,
+    "adj": _ADJ,
+    "walks": "SELECT path AS s, path AS v, 0 AS k, 1::DOUBLE AS n FROM v_notes UNION ALL SELECT s, b, k + 1, sum(n) FROM walks JOIN adj ON a = v WHERE k < 24 GROUP BY s, b, k",
+    "short": "SELECT s, v, min(k) AS d, arg_min(n, k) AS n FROM walks GROUP BY 1, 2",
+    "betw": """SELECT path, coalesce(b, 0) AS betweenness FROM v_notes LEFT JOIN (SELECT x.v AS path, sum(x.n * y.n / z.n) AS b FROM short x JOIN short y ON y.s = x.v JOIN short z ON z.s = x.s AND z.v = y.v
+        WHERE x.s < y.v AND x.d > 0 AND y.d > 0 AND x.d + y.d = z.d GROUP BY 1) USING (path)""",
+}
+
+
+@query(sql("SELECT path, round(betweenness, 6) AS betweenness FROM betw", **_BETWEEN))
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     out = graph.betweenness(_nodes(spark, d), _adjacency(spark, d))
     return out.select("path", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query()
+@query(
+    sql(
+        """SELECT path, round(betweenness, 6) AS betweenness, fragments, fragments > (SELECT count(DISTINCT c) FROM (SELECT min(s) AS c FROM reach GROUP BY v)) AS articulation
+        FROM top10 JOIN (SELECT g, count(DISTINCT c) AS fragments FROM (SELECT g, min(s) AS c FROM cut GROUP BY g, v) GROUP BY 1) ON g = path""",
+        **_BETWEEN,
+        reach=_REACH,
+        top10="SELECT * FROM betw WHERE betweenness > 0 ORDER BY round(betweenness, 6) DESC, path LIMIT 10",
+        cut="SELECT t.path AS g, n.path AS s, n.path AS v FROM top10 t JOIN v_notes n ON n.path <> t.path UNION SELECT g, s, b FROM cut JOIN adj ON a = v WHERE b <> g",
+    )
+)
 def bridges(spark: SparkSession, d: str) -> DataFrame:
     """The 10 notes of greatest betweenness and the fragments left without each."""
     nodes, adj = _nodes(spark, d), _adjacency(spark, d)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lectern.functions.vectors import hash_embedding
 from lectern.operators import bm25 as text_rank
 from lectern.operators import memory, quality, rank
+from lectern.operators.sequence import numbered
 from lectern.registry import query
+from lectern.session import materialize
 from lectern.sources import tables as t
 from lectern.sources.tables import sql
 
@@ -55,9 +57,10 @@ def memory_merge(spark: SparkSession, d: str) -> DataFrame:
     """Each memory merged with the next one of its agent and workspace that has another type."""
     nth = F.row_number().over(Window.partitionBy("memory_id").orderBy("content"))
     one = t.memories(spark, d).where("content IS NOT NULL").withColumn("nth", nth).where("nth = 1").drop("nth")
-    key = one.select("memory_id", "source_agent", "workspace", "entity_type")
-    b = key.toDF("other", "source_agent", "workspace", "kind")
-    paired = key.join(b, ["source_agent", "workspace"]).where("memory_id < other AND entity_type <> kind").groupBy("memory_id").agg(F.min("other").alias("other"))
+    key = one.select("memory_id", "source_agent", "workspace", "entity_type").where("source_agent IS NOT NULL AND workspace IS NOT NULL AND entity_type IS NOT NULL")
+    back = Window.partitionBy("source_agent", "workspace").orderBy(F.desc("memory_id"))  # from the last id on: the start of the next run of another type
+    run = key.withColumn("start", F.when(F.col("entity_type") != F.lead("entity_type").over(back), F.col("memory_id")))
+    paired = run.select("memory_id", F.last("start", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("other")).where("other IS NOT NULL")
     src = one.select(F.col("memory_id").alias("other"), F.struct(*one.columns).alias("s"))
     out = paired.join(one.select("memory_id", F.struct(*one.columns).alias("t")), "memory_id").join(src, "other")
     m = memory.merge()
@@ -140,8 +143,8 @@ _ORDERED = "SELECT DISTINCT id, session_id, content, timestamp FROM messages WHE
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     """Two messages around every hit of a phrase; the neighbourhood is an equi-join on the numbered positions."""
     m = t.table(spark, d, "messages").select("id", "session_id", "content", "timestamp").where("session_id IS NOT NULL").distinct()
-    o = m.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy(F.asc_nulls_first("timestamp"), "id")))
-    hits = o.where(F.contains(F.lower("content"), F.lit("archive"))).select(F.col("id").alias("hit"), "session_id", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("off"), "nth").withColumn("nth", (F.col("nth") + F.col("off")).cast("int"))
+    o = materialize(numbered(m.select("id", "session_id", "content", "timestamp"), "session_id", F.asc_nulls_first("timestamp"), "id").select("id", "session_id", "nth", F.contains(F.lower("content"), F.lit("archive")).alias("hit")), "ordered")
+    hits = o.where("hit").select(F.col("id").alias("hit"), "session_id", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("off"), "nth").withColumn("nth", F.col("nth") + F.col("off"))
     return hits.join(o.select("session_id", "nth", "id"), ["session_id", "nth"]).select("hit", "id", F.col("off").cast("long").alias("off"))
 
 

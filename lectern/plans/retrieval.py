@@ -30,15 +30,15 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("query_id", F.col("doc").alias("chunk_id"), F.round("rank", 6).alias("rank"), F.col("pos").cast("long").alias("pos"))
 
 
-_SHORT = "SELECT memory_id AS query_id, array_to_string(regexp_extract_all(content, '[\\p{L}\\p{N}]+')[1:3], ' ') AS text FROM v_memories WHERE content IS NOT NULL"
+_SHORT = "SELECT memory_id AS query_id, array_to_string(regexp_extract_all(content, '[\\p{L}\\p{N}]+'), ' ') AS text FROM v_memories WHERE content IS NOT NULL"
 
 
 @query(sql("SELECT query_id, doc AS memory_id, round(rank, 6) AS rank FROM bm JOIN (SELECT query_id, count(*) AS need FROM q_terms GROUP BY 1) USING (query_id) WHERE hits = need", **text_rank.sql_ctes("SELECT memory_id AS doc, content AS body FROM v_memories", _SHORT, None)))
 def bm25_match_all(spark: SparkSession, d: str) -> DataFrame:
-    """Memory search: all words must occur. Queries are the first three words of each memory."""
+    """Memory search: all words must occur. Queries are the contents of the memories."""
     m = t.memories(spark, d).where("content IS NOT NULL")
     words = F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    qs = m.select(F.col("memory_id").alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("text"))
+    qs = m.select(F.col("memory_id").alias("query_id"), F.array_join(words, " ").alias("text"))
     return text_rank.bm25(m, "memory_id", "content", qs, None, match_all=True).select("query_id", F.col("doc").alias("memory_id"), F.round("rank", 6).alias("rank"))
 
 
@@ -54,12 +54,15 @@ def triple_keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", F.col("doc").alias("triple_id"), F.round("rank", 6).alias("rank"), F.col("pos").cast("long").alias("pos"))
 
 
-@query(sql("SELECT query_id, doc AS chunk_id, round(rank, 6) AS rank FROM bm JOIN v_chunks ON doc = chunk_id WHERE lower(note_path) LIKE 'work/%'", **_BM))
+@query(
+    sql(
+        """SELECT query_id, doc AS chunk_id, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), doc) AS place FROM scored
+        WHERE doc IN (SELECT chunk_id FROM v_chunks WHERE lower(note_path) LIKE 'work/%')) WHERE place <= 50""",
+        **_BM,
+    )
+)
 def keyword_workspace(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 best keyword hits of every query inside one workspace; statistics stay those of the whole corpus.
-
-    The SQL cuts to 50 before the workspace, so it has a part of these rows only.
-    """
+    """The 50 best keyword hits of every query inside one workspace; statistics stay those of the whole corpus."""
     c = t.chunks(spark, d).where(F.lower("note_path").startswith("work/")).select(F.col("chunk_id").alias("doc"))
     return _hits(spark, d, within=c).select("query_id", F.col("doc").alias("chunk_id"), F.round("rank", 6).alias("rank"))
 

@@ -124,13 +124,6 @@ def embedding_context(spark: SparkSession, d: str) -> DataFrame:
     return j.select("chunk_id", F.concat(F.lit("Note: "), F.coalesce("title", "note_path"), section, F.lit("\n---\n"), "content").alias("context"))
 
 
-@query("SELECT stem_key, count(*) AS n_words FROM (SELECT DISTINCT substr(w, 1, 3) AS stem_key, w FROM (SELECT unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS w FROM memories WHERE content IS NOT NULL)) GROUP BY 1")
-def word_families(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct words by their first three letters."""
-    w = t.table(spark, d, "memories").where("content IS NOT NULL").select(F.explode(x.tokens(F.col("content"))).alias("w")).distinct()
-    return w.groupBy(F.substring("w", 1, 3).alias("stem_key")).agg(F.count(F.lit(1)).alias("n_words"))
-
-
 @query()
 def transcript_search(spark: SparkSession, d: str) -> DataFrame:
     """Messages by BM25 over stems, the 20 best with hits marked, for one query."""
