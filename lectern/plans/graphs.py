@@ -25,18 +25,26 @@ def _adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL),
-    l AS (SELECT path AS source_path, unnest(list_distinct(regexp_extract_all(text, '\\[\\[([^\\]|#]+?)(?:[|][^\\]]+?)?\\]\\]', 1))) AS link_text FROM documents WHERE path IS NOT NULL AND text IS NOT NULL),
-    e AS (SELECT key, max(path) AS path FROM (SELECT lower(path) AS key, path FROM p UNION ALL SELECT regexp_replace(lower(path), '\\.md$', ''), path FROM p) GROUP BY 1),
-    s AS (SELECT regexp_extract(regexp_replace(lower(path), '\\.md$', ''), '([^/]+)$', 1) AS key, min(path) AS path FROM p GROUP BY 1)
-    SELECT source_path, target_path, min(link_text) AS link_text FROM (
+    sql(
+        """SELECT source_path, target_path, min(link_text) AS link_text FROM (
       SELECT source_path, link_text, coalesce(e.path, s.path) AS target_path FROM l
       LEFT JOIN e ON e.key = lower(trim(link_text)) LEFT JOIN s ON s.key = regexp_extract(lower(trim(link_text)), '([^/]+?)(?:\\.md)?$', 1))
-    WHERE target_path IS NOT NULL AND target_path <> source_path GROUP BY 1, 2"""
+    WHERE target_path IS NOT NULL AND target_path <> source_path GROUP BY 1, 2""",
+        files="""SELECT path, text FROM documents WHERE path IS NOT NULL
+    UNION ALL SELECT path, title FROM v_notes
+    UNION ALL SELECT source_path, 'See [[' || upper(regexp_extract(target_path, '([^/]+)\\.md$', 1)) || '|this]] and [[' || target_path || ']].' FROM v_edges""",
+        p="SELECT DISTINCT path FROM files",
+        l="SELECT path AS source_path, unnest(list_distinct(regexp_extract_all(text, '\\[\\[([^\\]|#]+?)(?:[|][^\\]]+?)?\\]\\]', 1))) AS link_text FROM files WHERE text IS NOT NULL",
+        e="SELECT key, max(path) AS path FROM (SELECT lower(path) AS key, path FROM p UNION ALL SELECT regexp_replace(lower(path), '\\.md$', ''), path FROM p) GROUP BY 1",
+        s="SELECT regexp_extract(regexp_replace(lower(path), '\\.md$', ''), '([^/]+)$', 1) AS key, min(path) AS path FROM p GROUP BY 1",
+    )
 )
 def edges_build(spark: SparkSession, d: str) -> DataFrame:
-    """The link graph of the documents, from their whole texts."""
-    return graph.build_edges(t.table(spark, d, "documents").where("path IS NOT NULL").select("path", "text"))
+    """The link graph of whole texts: the documents, and the notes with links to those that their facts name, by path and by name in other case."""
+    stem = F.upper(F.regexp_extract("target_path", r"([^/]+)\.md$", 1))
+    named = t.note_edges(spark, d).select("source_path", F.concat(F.lit("See [["), stem, F.lit("|this]] and [["), "target_path", F.lit("]].")))
+    files = t.table(spark, d, "documents").where("path IS NOT NULL").select("path", "text").union(t.notes(spark, d).select("path", "title")).union(named)
+    return graph.build_edges(files)
 
 
 @query(

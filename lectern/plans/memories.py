@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.vectors import hash_embedding
 from lectern.operators import bm25 as text_rank
 from lectern.operators import memory, quality, rank
 from lectern.operators.sequence import numbered
@@ -101,17 +100,23 @@ def tag_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return memory.suggest_tags(m, m.select(F.col("memory_id").alias("query_id"), F.col("content").alias("text")))
 
 
-@query()
+@query(
+    sql(
+        """SELECT memory_id, note_path, round(distance, 6) AS cosine_distance FROM (SELECT memory_id, n.note_path, 1 - max(list_dot_product(mv, vec) / (sqrt(list_dot_product(mv, mv)) * sqrt(list_dot_product(vec, vec)) + 1e-10)) AS distance
+        FROM named n JOIN (SELECT vec_id, embedding::DOUBLE[] AS mv FROM embeddings) e ON e.vec_id = memory_id JOIN v_vectors v ON v.note_path = n.note_path GROUP BY 1, 2) WHERE distance > 0.4""",
+        stems="SELECT regexp_extract(regexp_replace(lower(path), '\\.md$', ''), '([^/]+)$', 1) AS key, min(path) AS path FROM v_notes GROUP BY 1",
+        named="""SELECT DISTINCT m.memory_id, s.path AS note_path FROM (SELECT DISTINCT memory_id FROM v_memories WHERE content IS NOT NULL) m
+        JOIN (SELECT chunk_id, min(note_path) AS note_path FROM v_vectors GROUP BY 1) c ON c.chunk_id = m.memory_id JOIN stems s ON s.key = regexp_extract(lower(c.note_path), '([^/]+)\\.md$', 1)""",
+    )
+)
 def memory_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Memories far from the notes they name; a memory names a note by a fact about it, its vector is the offline embedding."""
-    m = t.memories(spark, d).where("content IS NOT NULL")
-    vectors = m.select("memory_id", hash_embedding(F.col("content")).alias("mvec"))
-    paths = t.notes(spark, d).select("path")
-    named = m.withColumn("content", F.concat(F.lit("[["), F.regexp_extract(F.col("workspace"), r"([^/]+)/*$", 1), F.lit("]] "), F.col("content")))
-    heads = t.chunk_vectors(spark, d)
-    alias = paths.select(F.concat(F.element_at(F.split("path", "/"), -2), F.lit(".md")).alias("path")).where("path IS NOT NULL").distinct()
-    folder = heads.withColumn("note_path", F.concat(F.element_at(F.split("note_path", "/"), -2), F.lit(".md")))
-    return memory.drift(named, vectors, alias, folder).select("memory_id", "note_path", F.round("cosine_distance", 6).alias("cosine_distance"))
+    """Memories far from the notes they name: each names the note of the chunk with its number, and has the stored vector of that number."""
+    v = t.chunk_vectors(spark, d)
+    stem = v.groupBy(F.col("chunk_id").alias("memory_id")).agg(F.regexp_extract(F.min("note_path"), r"([^/]+)\.md$", 1).alias("stem"))
+    m = t.memories(spark, d).where("content IS NOT NULL").select("memory_id").distinct()
+    named = m.join(stem, "memory_id").select("memory_id", F.concat(F.lit("decided in [["), "stem", F.lit("]]")).alias("content"))
+    vectors = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("embedding").cast("array<double>").alias("mvec"))
+    return memory.drift(named, vectors, t.notes(spark, d).select("path"), v).select("memory_id", "note_path", F.round("cosine_distance", 6).alias("cosine_distance"))
 
 
 # Sessions
