@@ -77,3 +77,24 @@ def test_sizes_of_millions(spark):
     assert sum(fill.values()) == sum(sizes) and max(fill.values()) <= capacity
     assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) == len(sizes) + 2
     assert sorted(fill) == list(range(len(fill))) and len(fill) <= -(-sum(sizes) // capacity) + 2
+
+
+def test_rounds_over_tables(spark, monkeypatch):
+    """Many range partitions with carries between them: each item placed once, no container over its capacity, as full as in one process."""
+    monkeypatch.setattr(p, "RUNS", 3)
+    rnd = random.Random(6)
+    capacity = 100
+    histogram = {}
+    for _ in range(3000):
+        size = min(capacity, max(1, int(rnd.lognormvariate(2.8, 1))))
+        histogram[size] = histogram.get(size, 0) + 1
+    runs = p.rounds(spark.createDataFrame(list(histogram.items()), "n_tokens long, n long"), capacity).collect()
+    load, ranks = defaultdict(int), defaultdict(list)
+    for r in runs:
+        ranks[r["size"]] += range(r["rank"], r["rank"] + r["n"])
+        for c in range(r["first"], r["first"] + r["n"]):
+            load[c] += r["size"]
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in histogram.items()}
+    assert max(load.values()) <= capacity and sorted(load) == list(range(len(load)))
+    assert len(load) <= p.plan(dict(histogram), capacity)[1] * 1.01 + 1
+    assert p._carries({1: 5, 2: 3}, {0: 6, 1: 2}, 3) == [(0, 0, 1, 0, 5), (1, 0, 2, 0, 2), (0, 5, 2, 2, 1)]
