@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lectern.functions.text import wiki_links
-from lectern.session import materialize
+from lectern.session import materialize, observed
 
 
 def link_index(paths: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def components(nodes: DataFrame, adjacency: DataFrame, max_rounds: int = 60) ->
         moved = Observation()  # counted while the labels are written
         new = hop.join(jump, "component", "left").select("path", "old", F.coalesce("top", "component").alias("component"))
         labels = materialize(new.observe(moved, F.count_if(F.col("old") != F.col("component")).alias("n")).select("path", "component"), "labels")
-        if not moved.get["n"]:
+        if not observed(moved).get("n", 0 if labels.isEmpty() else 1):
             return labels
     raise RuntimeError(f"components still change after {max_rounds} rounds")
 

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def get_spark(master: str = "local[8]", **conf: str) -> SparkSession:
@@ -54,6 +55,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(seen: Observation) -> dict:
+    """What an observation saw; nothing where the optimiser found the observed plan to be empty and left it out."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through the Hadoop file system that holds it."""
     jvm = spark._jvm

@@ -127,3 +127,9 @@ def test_semantic_threshold_prunes(spark):
         assert got == {(x, y) for g in "ab" for x, y in ((f"{g}0", f"{g}1"), (f"{g}0", f"{g}2"), (f"{g}1", f"{g}2"))}
     folders = spark.createDataFrame([("work/a",), ("work/b",), ("home/c",), ("root.md",)], "note_path string")
     assert [(r["a"], r["b"]) for r in community.folder_edges(folders).collect()] == [("work/a", "work/b")]
+
+
+def test_components_of_no_notes(spark):
+    from lectern.operators import graph
+
+    assert graph.components(spark.createDataFrame([], "path string"), spark.createDataFrame([], "a string, b string")).count() == 0
