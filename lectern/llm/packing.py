@@ -71,7 +71,7 @@ class Containers:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Placements (size, first rank, count, first container) of all items, and the number of containers."""
+    """Placements (size, first rank, count, first container) of all items, and the number of containers: the rounds in one process, for a histogram at hand and as the measure of `rounds`."""
     c = Containers(capacity)
     left: dict[int, tuple[int, int]] = {}  # size -> (first rank, count)
     for size, n in histogram.items():
