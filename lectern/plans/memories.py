@@ -93,7 +93,19 @@ def similar_memories(spark: SparkSession, d: str) -> DataFrame:
     return memory.similar_by_text(m, qs).select("query_id", "memory_id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+_TAGS = {
+    **_MB,
+    "near10": "SELECT query_id, doc FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), doc) AS nth FROM bm WHERE query_id <> doc) WHERE nth <= 10",
+    "named": """SELECT memory_id, unnest(list_sort(list_distinct(list_concat(
+      list_filter(list_transform(p, lambda y: lower(list_extract(string_split(y, '.'), -1))), lambda e: e IN ('py', 'ts', 'js', 'rs', 'go', 'md', 'toml', 'yaml', 'yml', 'json')),
+      list_transform(list_filter(list_transform(p, lambda y: string_split(y, '/')), lambda s: len(s) > 1), lambda s: CASE WHEN s[-2] <> '' THEN s[-2] ELSE s[1] END))))[1:5]) AS tag
+      FROM (SELECT memory_id, regexp_extract_all(content, '[\\w/.-]+\\.\\w{1,10}') AS p FROM v_memories WHERE content IS NOT NULL)""",
+    "weighed": """SELECT query_id, tag, sum(w)::BIGINT AS weight FROM (
+      SELECT query_id, unnest(tags) AS tag, 1 AS w FROM near10 JOIN v_memories ON memory_id = doc WHERE content IS NOT NULL UNION ALL SELECT memory_id, tag, 2 FROM named) GROUP BY 1, 2""",
+}
+
+
+@query(sql("SELECT query_id, tag, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, tag) AS nth FROM weighed) WHERE nth <= 5", **_TAGS))
 def tag_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Tags for every memory from similar memories and the paths it names."""
     m = t.memories(spark, d).where("content IS NOT NULL")
