@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.vectors import mean_vector
-from lectern.session import materialize
+from lectern.session import width
 
 SEMANTIC, COOCCURRENCE, LINKS, FOLDER = 0.6, 0.25, 0.15, 0.3
 MIN_SHARED, THRESHOLD_K = 2, 0.5
@@ -22,78 +24,184 @@ def note_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("note_path").agg(mean_vector(F.col("vec")).alias("vec"))
 
 
-def _blocks(notes: DataFrame, rows: int) -> DataFrame:
-    """Note vectors packed into blocks of about `rows`, as pairs of blocks (each unordered pair once)."""
-    n = max(1, -(-notes.count() // rows))
-    packed = notes.withColumn("block", F.pmod(F.xxhash64("note_path"), F.lit(n))).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("note_path", "vec"))).alias("m"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
-    sent = packed.select(F.col("block"), "m", other)
-    key = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    left, right = sent.where("block <= other").select(*key, F.col("m").alias("x")), sent.where("block >= other").select(*key, F.col("m").alias("y"))
-    return left.join(right, ["i", "j"])
+@dataclass(frozen=True)
+class Blend:
+    """The weighted similarity of all pairs of notes, by row blocks and never as a whole.
 
+    Notes are numbered by path. A task gets what belongs to single notes (a vector of 512 bytes, folder, entities, links), and compares its
+    rows with all notes in one matrix product a block: nothing is shuffled, and only results leave the task.
+    """
 
-def _cosines(b: pa.RecordBatch) -> Iterator[tuple[list, list, np.ndarray]]:
-    for r in b.to_pylist():
-        xs, ys = r["x"], r["y"]
-        p, q = [m["note_path"] for m in xs], [m["note_path"] for m in ys]
-        x, y = np.asarray([m["vec"] for m in xs]), np.asarray([m["vec"] for m in ys])
-        x, y = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10), y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-10)
-        s = np.clip(x @ y.T, 0, 1)
-        if r["i"] == r["j"]:
-            s[np.tril_indices(len(s))] = np.nan
-        yield p, q, s
+    spark: SparkSession
+    paths: np.ndarray  # sorted
+    unit: np.ndarray  # vectors of length 1
+    folder: np.ndarray | None = None  # a number per folder
+    posts: tuple | None = None  # entities of notes and notes of entities, as (starts, values) each, and stored pairs of entities, as (keys, weights)
+    links: tuple | None = None  # linked notes, as (starts, values)
+    floor: float = -1.0  # least cosine that counts
+    top: float = 1.0  # greatest raw value of shared entities
+    semantic: float = SEMANTIC
+
+    @property
+    def rows(self) -> int:
+        return max(1, min(256, 1_000_000 // max(1, len(self.paths))))
+
+    def run(self, work, schema: str, rows: int | None = None) -> DataFrame:
+        """work(blend, first row, end) -> record batches, over all row blocks."""
+        n, shared = len(self.paths), self.spark.sparkContext.broadcast(replace(self, spark=None))
+        size = rows or self.rows
+        blocks = -(-n // size)
+        starts = self.spark.range(0, blocks * size, size, min(max(1, blocks), 16 * width(self.spark)))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in b.column("id").to_pylist():
+                    yield from work(shared.value, lo, min(n, lo + size))
+
+        return starts.mapInArrow(each, schema)
+
+    def cosines(self, lo: int, hi: int, first: int = 0) -> np.ndarray:
+        return np.clip(self.unit[lo:hi] @ self.unit[first:].T, 0, 1)
+
+    def raw(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Notes that share at least MIN_SHARED entities with note i, with the count plus the stored weights of pairs among the shared ones."""
+        (at, ents), (start, notes), (keys, weights), n_ents = self.posts
+        own = ents[at[i] : at[i + 1]]
+        if len(own) < MIN_SHARED:
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        lists = [notes[start[e] : start[e + 1]] for e in own]
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.paths)).astype(np.float64)
+        shared[i] = 0
+        js = np.flatnonzero(shared >= MIN_SHARED)
+        x, y = np.triu_indices(len(own), 1)
+        key = own[x] * n_ents + own[y]  # own is sorted
+        found = np.searchsorted(keys, key)
+        hit = (found < len(keys)) & (keys[np.minimum(found, max(0, len(keys) - 1))] == key) if len(keys) else np.zeros(len(key), dtype=bool)
+        mark = np.zeros(len(self.paths), dtype=bool)
+        for p in np.flatnonzero(hit):
+            mark[lists[x[p]]] = True
+            shared[lists[y[p]][mark[lists[y[p]]]]] += weights[found[p]]
+            mark[lists[x[p]]] = False
+        return js, shared[js]
+
+    def values(self, lo: int, hi: int) -> np.ndarray:
+        """Rows lo to hi of the similarity, 0 where there is none."""
+        v = self.cosines(lo, hi)
+        v[v < max(self.floor, 1e-12)] = 0
+        v *= self.semantic
+        if self.folder is not None:
+            v += FOLDER * (self.folder[lo:hi, None] == self.folder[None, :])
+        for i in range(lo, hi):
+            if self.posts is not None:
+                js, raw = self.raw(i)
+                v[i - lo, js] += COOCCURRENCE * raw / self.top
+            if self.links is not None:
+                v[i - lo, self.links[1][self.links[0][i] : self.links[0][i + 1]]] += LINKS
+        v[np.arange(hi - lo), np.arange(lo, hi)] = 0
+        return v
+
+    def measured(self, k: float | None, rows: int | None = None) -> Blend:
+        """With the least cosine, mean + k * population deviation over all pairs, and the greatest raw value."""
+
+        def moments(x: Blend, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+            s1 = s2 = top = 0.0
+            if k is not None:
+                s = x.cosines(lo, hi, lo)
+                s[np.tril_indices(hi - lo)] = 0  # each pair once
+                s1, s2 = float(s.sum()), float((s * s).sum())
+            if x.posts is not None:
+                top = max((float(raw.max()) for _, raw in map(x.raw, range(lo, hi)) if len(raw)), default=0.0)
+            yield pa.RecordBatch.from_pydict({"s1": [s1], "s2": [s2], "top": [top]})
+
+        n = len(self.paths)
+        m = self.run(moments, "s1 double, s2 double, top double", rows).agg(F.sum("s1"), F.sum("s2"), F.max("top")).first()
+        floor, pairs = -1.0, n * (n - 1) / 2
+        if k is not None and pairs:
+            mean = m[0] / pairs
+            floor = mean + k * max(0.0, m[1] / pairs - mean * mean) ** 0.5
+        return replace(self, floor=floor, top=m[2] or 1.0)
+
+    def pairs(self, rows: int | None = None) -> DataFrame:
+        """a < b, value: every pair that has a similarity."""
+
+        def each(x: Blend, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+            names = pa.array(x.paths, pa.string())
+            v = x.values(lo, hi)
+            for r in range(hi - lo):
+                j = lo + r + 1 + np.flatnonzero(v[r, lo + r + 1 :] > 0)
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(j), lo + r))), names.take(pa.array(j)), pa.array(v[r, j])], names=["a", "b", "value"])
+
+        return self.run(each, "a string, b string, value double", rows)
+
+    def nearest(self, k: int) -> DataFrame:
+        """i, j, value, nth: numbers of the k most similar notes of each (ties by number, that is by path)."""
+
+        def each(x: Blend, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+            v = x.values(lo, hi)
+            last = np.partition(v, max(0, v.shape[1] - k), axis=1)[:, max(0, v.shape[1] - k)]
+            for r in range(hi - lo):
+                j = np.flatnonzero((v[r] >= last[r] - 2e-9) & (v[r] > 0))
+                j = j[np.lexsort((j, -np.round(v[r, j], 9)))[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), lo + r)), pa.array(j), pa.array(v[r, j]), pa.array(np.arange(1, len(j) + 1))], names=["i", "j", "value", "nth"])
+
+        return self.run(each, "i long, j long, value double, nth long")
+
+    def row_topk(self, k: int) -> DataFrame:
+        """a, b, value, nth as row_topk has them of listed pairs."""
+        paths = self.spark.sparkContext.broadcast(self.paths)
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = pa.array(paths.value, pa.string())
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([names.take(b.column("i")), names.take(b.column("j")), b.column("value"), b.column("nth")], names=["a", "b", "value", "nth"])
+
+        return self.nearest(k).mapInArrow(named, "a string, b string, value double, nth long")
+
+    def modularity(self, *partitions: np.ndarray) -> list[float]:
+        """Of each partition, a community number per note, on the whole similarity."""
+        n = len(self.paths)
+        shared = self.spark.sparkContext.broadcast(partitions)
+
+        def sums(x: Blend, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+            v = x.values(lo, hi)
+            inside = [float((v * (g[lo:hi, None] == g[None, :])).sum()) for g in shared.value]
+            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([v.sum(axis=1)], pa.list_(pa.float64())), pa.array([inside], pa.list_(pa.float64()))], names=["lo", "strength", "inside"])
+
+        strength, inside = np.zeros(n), np.zeros(len(partitions))
+        for r in self.run(sums, "lo long, strength array<double>, inside array<double>").collect():
+            strength[r["lo"] : r["lo"] + len(r["strength"])] = r["strength"]
+            inside += r["inside"]
+        total = strength.sum()
+        return [float(x / total - (np.bincount(g, strength) ** 2).sum() / total**2) if total else 0.0 for x, g in zip(inside, partitions)]
+
+
+def _grouped(key: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, values): the sorted values of key k are values[starts[k] : starts[k + 1]]."""
+    order = np.lexsort((value, key))
+    return np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n))]), value[order]
+
+
+def _numbers(column, of: pa.Array) -> np.ndarray:
+    """The place of each value in `of`, -1 where it isn't there."""
+    return pc.fill_null(pc.index_in(column, value_set=of), -1).to_numpy().astype(np.int64)
+
+
+def _unit_blend(notes: DataFrame) -> Blend:
+    got = notes.select("note_path", "vec").toArrow()
+    vec = np.asarray(pc.list_flatten(got["vec"].combine_chunks()).to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(got), -1) if len(got) else np.zeros((0, 1))
+    paths = np.asarray(got["note_path"].to_pylist(), dtype=object)
+    order = np.argsort(paths)
+    vec = vec[order]
+    return Blend(notes.sparkSession, paths[order], vec / (np.linalg.norm(vec, axis=1, keepdims=True) + 1e-10))
 
 
 def semantic_edges(notes: DataFrame, k: float | None = THRESHOLD_K, block_rows: int = 1024) -> DataFrame:
     """a < b, value: cosines of note vectors, floored at 0, at or above mean + k * population deviation over all pairs.
 
-    All pairs are compared, as the definition wants, in matrix products of two blocks each; the moments are summed first.
+    All pairs are compared, as the definition wants, in matrix products; the moments are summed first.
     """
-    cells = materialize(_blocks(notes, block_rows), "blocks")
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s1, s2 = 0, 0.0, 0.0
-        for b in batches:
-            for _, _, s in _cosines(b):
-                v = s[~np.isnan(s)]
-                n, s1, s2 = n + v.size, s1 + v.sum(), s2 + (v * v).sum()
-        yield pa.RecordBatch.from_pydict({"n": [n], "s1": [s1], "s2": [s2]})
-
-    floor = -1.0
-    if k is not None:
-        m = cells.mapInArrow(moments, "n long, s1 double, s2 double").agg(F.sum("n"), F.sum("s1"), F.sum("s2")).first()
-        if m[0]:
-            mean = m[1] / m[0]
-            floor = mean + k * max(0.0, m[2] / m[0] - mean * mean) ** 0.5
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p, q, s in _cosines(b):
-                i, j = np.nonzero(np.nan_to_num(s, nan=-2) >= max(floor, 1e-12))
-                x, y = np.asarray(p, dtype=object)[i], np.asarray(q, dtype=object)[j]
-                low = x < y
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(low, x, y), pa.string()), pa.array(np.where(low, y, x), pa.string()), pa.array(s[i, j])], names=["a", "b", "value"])
-
-    return cells.mapInArrow(edges, "a string, b string, value double")
-
-
-def shared_entity_edges(triples: DataFrame, state: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
-    """a < b, value: shared entities of two notes (at least min_shared) plus the stored weights of pairs among them, over the greatest."""
-    m = triples.select("note_path", F.col("subject").alias("entity")).union(triples.select("note_path", F.col("object"))).distinct()
-    both = m.withColumnRenamed("note_path", "a").join(m.withColumnRenamed("note_path", "b"), "entity").where("a < b")
-    groups = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.collect_set("entity").alias("ents")).where(F.col("shared") >= min_shared)
-    x = groups.select("a", "b", "ents", F.explode("ents").alias("entity_a"))
-    pairs = x.select("a", "b", "entity_a", F.explode("ents").alias("entity_b")).where("entity_a < entity_b").join(state.select("entity_a", "entity_b", "weight"), ["entity_a", "entity_b"])
-    learned = pairs.groupBy("a", "b").agg(F.sum("weight").alias("w"))
-    raw = groups.join(learned, ["a", "b"], "left").select("a", "b", (F.col("shared") + F.coalesce("w", F.lit(0.0))).alias("raw"))
-    top = raw.agg(F.max("raw").alias("top"))
-    return raw.crossJoin(F.broadcast(top)).select("a", "b", (F.col("raw") / F.col("top")).alias("value"))
-
-
-def link_edges(edges: DataFrame) -> DataFrame:
-    a, b = F.least("source_path", "target_path"), F.greatest("source_path", "target_path")
-    return edges.select(a.alias("a"), b.alias("b")).where("a <> b").distinct().withColumn("value", F.lit(1.0))
+    return replace(_unit_blend(notes), semantic=1.0).measured(k, block_rows).pairs(block_rows)
 
 
 def folder_edges(notes: DataFrame, depth: int = 1) -> DataFrame:
@@ -103,17 +211,28 @@ def folder_edges(notes: DataFrame, depth: int = 1) -> DataFrame:
     return g.withColumnRenamed("note_path", "a").join(g.withColumnRenamed("note_path", "b"), "g").where("a < b").select("a", "b", F.lit(1.0).alias("value"))
 
 
-def similarity(vectors: DataFrame, triples: DataFrame, state: DataFrame, edges: DataFrame) -> DataFrame:
-    """a < b, value: the four signals, weighted and summed, among notes that have a vector."""
-    notes = materialize(note_vectors(vectors), "note-vectors")
-    known = notes.select("note_path")
-    parts = [(semantic_edges(notes), SEMANTIC), (shared_entity_edges(triples.join(known, "note_path", "left_semi"), state), COOCCURRENCE), (link_edges(edges), LINKS), (folder_edges(known), FOLDER)]
-    every = None
-    for df, w in parts:
-        part = df.select("a", "b", (F.col("value") * w).alias("value"))
-        every = part if every is None else every.unionByName(part)
-    inside = every.join(known.withColumnRenamed("note_path", "a"), "a", "left_semi").join(known.withColumnRenamed("note_path", "b"), "b", "left_semi")
-    return inside.groupBy("a", "b").agg(F.sum("value").alias("value")).where("value > 0")
+def similarity(vectors: DataFrame, triples: DataFrame, state: DataFrame, edges: DataFrame) -> Blend:
+    """The four signals, weighted and summed, among notes that have a vector: cosines over the threshold, shared entities (at least MIN_SHARED, their
+    count plus the stored weights of pairs among them, over the greatest), links and equal top folders."""
+    blend = _unit_blend(note_vectors(vectors))
+    names, n = pa.array(blend.paths, pa.string()), len(blend.paths)
+    tops = np.asarray([p.split("/")[0] for p in blend.paths], dtype=object)
+    folder = np.unique(tops.astype(str), return_inverse=True)[1] if n else np.zeros(0, dtype=np.int64)
+    known = triples.select("note_path", F.col("subject").alias("entity")).union(triples.select("note_path", F.col("object"))).distinct().toArrow()
+    note, entities = _numbers(known["note_path"], names), pc.unique(known["entity"])
+    ent = _numbers(known["entity"], entities)
+    note, ent = note[note >= 0], ent[note >= 0]
+    stored = state.select("entity_a", "entity_b", "weight").toArrow()
+    a, b = _numbers(stored["entity_a"], entities), _numbers(stored["entity_b"], entities)
+    both = (a >= 0) & (b >= 0)
+    key = np.minimum(a, b)[both] * len(entities) + np.maximum(a, b)[both]
+    order = np.argsort(key)
+    posts = (_grouped(note, ent, n), _grouped(ent, note, len(entities)), (key[order], stored["weight"].to_numpy()[both][order]), len(entities))
+    linked = edges.select("source_path", "target_path").where("source_path <> target_path").toArrow()
+    a, b = _numbers(linked["source_path"], names), _numbers(linked["target_path"], names)
+    inside = (a >= 0) & (b >= 0)
+    ends = np.unique(np.concatenate([np.stack([a, b], 1)[inside], np.stack([b, a], 1)[inside]]), axis=0)
+    return replace(blend, folder=folder, posts=posts, links=_grouped(ends[:, 0], ends[:, 1], n)).measured(THRESHOLD_K)
 
 
 def both_ways(s: DataFrame) -> DataFrame:
@@ -133,23 +252,27 @@ def iterations(n: int) -> int:
 def attractor(s: DataFrame, notes: DataFrame, beta: float, top_k: int, merge_singletons: bool, tolerance: float = 1e-4, max_notes: int = 8000) -> DataFrame:
     """note_path, community: each note's dominant attractor once softmax(beta * S * state) settles.
 
-    The state is a dense square matrix, so one task holds it, and its size is checked:
-    beyond max_notes this raises, as the method has no sparse form.
+    Up to max_notes one task holds the state as a dense square matrix; beyond, `_settled` works on its rows.
     """
     n = notes.count()
-    if n > max_notes:
-        raise ValueError(f"{n} notes; attractor dynamics hold a dense matrix and are limited to {max_notes}")
     near = row_topk(s, top_k) if n > top_k else both_ways(s)
-    rows = notes.select(F.lit(0).alias("g"), F.col("note_path").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("value")).union(near.select(F.lit(0), "a", "b", "value"))
+    names = sorted(r[0] for r in notes.select("note_path").distinct().collect())
+    got, of = near.select("a", "b", "value").toArrow(), pa.array(names, pa.string())
+    homes = _homes(notes.sparkSession, len(names), _numbers(got["a"], of), _numbers(got["b"], of), got["value"].to_numpy(), beta, merge_singletons, tolerance, max_notes)
+    return notes.sparkSession.createDataFrame([(p, names[h]) for p, h in zip(names, homes)], "note_path string, community string")
+
+
+def _homes(spark: SparkSession, n: int, i: np.ndarray, j: np.ndarray, value: np.ndarray, beta: float, merge_singletons: bool, tolerance: float = 1e-4, max_notes: int = 8000) -> np.ndarray:
+    """The attractor of each of n notes, from the entries (i, j, value) of the similarity."""
+    if n > max_notes:
+        return _settled(spark, n, i, j, value, beta, merge_singletons, tolerance)
+    rows = spark.createDataFrame(pa.table({"i": i, "j": j, "value": value}), "i long, j long, value double").withColumn("g", F.lit(0))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf.loc[pdf["b"].isna(), "a"])
-        at = {p: i for i, p in enumerate(names)}
-        e = pdf[pdf["b"].notna()]
-        m = np.zeros((len(names), len(names)), dtype=np.float32)
-        m[e["a"].map(at).to_numpy(dtype=int), e["b"].map(at).to_numpy(dtype=int)] = e["value"]
-        state = np.eye(len(names), dtype=np.float32)
-        for _ in range(iterations(len(names))):
+        m = np.zeros((n, n), dtype=np.float32)
+        m[pdf["i"], pdf["j"]] = pdf["value"]
+        state = np.eye(n, dtype=np.float32)
+        for _ in range(iterations(n)):
             z = beta * (m @ state)
             z = np.exp(z - z.max(axis=1, keepdims=True))
             z /= z.sum(axis=1, keepdims=True) + 1e-10
@@ -158,15 +281,134 @@ def attractor(s: DataFrame, notes: DataFrame, beta: float, top_k: int, merge_sin
             if moved < tolerance:
                 break
         home = state.argmax(axis=1)
-        size = np.bincount(home, minlength=len(names))
+        size = np.bincount(home, minlength=n)
         big = np.flatnonzero(size > 1)
         if merge_singletons and len(big):
             unit = state / (np.linalg.norm(state, axis=1, keepdims=True) + 1e-10)
             for i in np.flatnonzero(size[home] == 1):
                 home[i] = big[int(np.argmax(unit[big] @ unit[home[i]]))]
-        return pd.DataFrame({"note_path": names, "community": [names[h] for h in home]})
+        return pd.DataFrame({"i": np.arange(n), "home": home})
+
+    home = np.zeros(n, dtype=np.int64)  # what one note without a neighbour has
+    for r in rows.groupBy("g").applyInPandas(settle, "i long, home long").toLocalIterator():
+        home[r["i"]] = r["home"]
+    return home
 
-    return rows.groupBy("g").applyInPandas(settle, "note_path string, community string")
+
+class _Rows:
+    """Rows of the state after t rounds, from the similarity alone.
+
+    A softmax doesn't see a constant in its row, so a row is (1 + w) / z with w = exp(beta * p) - 1, p = S * (the state's w / z of the round before), which is 0
+    outside the notes that t steps reach, and z = n + sum(w). The first round starts from the unit matrix: there p is the row of S.
+    """
+
+    def __init__(self, n: int, start: np.ndarray, near: np.ndarray, value: np.ndarray, beta: float):
+        self.n, self.start, self.near, self.value, self.beta, self.kept, self.held = n, start, near, value, beta, {}, 0
+
+    def p(self, i: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Notes and p of row i after t rounds."""
+        a, b = self.start[i], self.start[i + 1]
+        if t == 1 or a == b:
+            return self.near[a:b], self.value[a:b]
+        parts = [(m, *self.w(j, t - 1)) for m, j in zip(self.value[a:b], self.near[a:b])]
+        sums = np.bincount(np.concatenate([x for _, x, _, _ in parts]), np.concatenate([m / z * w for m, _, w, z in parts]), minlength=self.n)
+        at = np.flatnonzero(sums)
+        return at, sums[at]
+
+    def w(self, i: int, t: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Notes, w and z of row i after t rounds; what was asked lately is kept, up to a size."""
+        if (got := self.kept.get((i, t))) is None:
+            at, p = self.p(i, t)
+            w = np.expm1(self.beta * p)
+            got = at, w, self.n + float(w.sum())
+            if self.held > 10_000_000:
+                self.kept, self.held = {}, 0
+            self.kept[i, t] = got
+            self.held += len(at)
+        return got
+
+    def moved(self, i: int, t: int) -> float:
+        """How far row i moved in round t."""
+        at, w, z = self.w(i, t)
+        new = np.full(self.n, 1 / z)
+        new[at] = (1 + w) / z
+        if t == 1:
+            new[i] -= 1
+        else:
+            at, w, z = self.w(i, t - 1)
+            new -= 1 / z
+            new[at] -= w / z
+        return float(np.abs(new).max())
+
+    def home(self, i: int, t: int) -> int:
+        """The greatest of row i; equal up to rounding, the first."""
+        at, p = self.p(i, t)
+        if not len(at) or p.max() <= 0:
+            return 0
+        return int(at[p >= p.max() * (1 - 1e-9)].min())
+
+
+def _settled(spark: SparkSession, n: int, i: np.ndarray, j: np.ndarray, value: np.ndarray, beta: float, merge_singletons: bool, tolerance: float) -> np.ndarray:
+    """The same where the square matrix is too large: tasks compute rows on their own, from the similarity's rows, which are broadcast.
+
+    Among n notes a row of the state is close to 1 / n, so few rounds settle: with COARSE and FINE at most three beyond 8,000 notes.
+    """
+    order = np.lexsort((j, i))
+    shared = spark.sparkContext.broadcast((n, np.concatenate([[0], np.cumsum(np.bincount(i, minlength=n))]), j[order], value[order], beta))
+
+    def over(ids: np.ndarray, work, schema: str) -> list:
+        """work(rows, ids) -> record batch, over parts of ids."""
+        parts = max(1, min(len(ids), 4 * width(spark)))
+        cut, told = np.linspace(0, len(ids), parts + 1).astype(int), spark.sparkContext.broadcast(ids)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = _Rows(*shared.value)
+            for b in batches:
+                for k in b.column("id").to_pylist():
+                    yield work(rows, told.value[cut[k] : cut[k + 1]])
+
+        return spark.range(0, parts, 1, parts).mapInArrow(each, schema).collect()
+
+    every, home = np.arange(n), np.zeros(n, dtype=np.int64)
+    for t in range(1, iterations(n) + 1):
+
+        def moved(rows: _Rows, ids: np.ndarray, t: int = t) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"moved": [max(rows.moved(x, t) for x in ids)]})
+
+        if t > 1 and max(r["moved"] for r in over(every, moved, "moved double")) < tolerance:
+            break
+
+    def homes(rows: _Rows, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"i": ids, "home": [rows.home(x, t) for x in ids]})
+
+    for r in over(every, homes, "i long, home long"):
+        home[r["i"]] = r["home"]
+    size = np.bincount(home, minlength=n)
+    big, alone = np.flatnonzero(size > 1), np.flatnonzero(size[home] == 1)
+    if not merge_singletons or not len(big) or not len(alone):
+        return home
+
+    def closest(rows: _Rows, ids: np.ndarray) -> pa.RecordBatch:
+        """The widest cosine between an attractor's row and those of the larger communities."""
+        best, at = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=np.int64)
+        step = max(1, 4_000_000 // n)
+        for lo in range(0, len(ids), step):
+            some = np.ones((len(ids[lo : lo + step]), n))
+            for x, i in enumerate(ids[lo : lo + step]):
+                to, w, _ = rows.w(home[i], t)
+                some[x, to] += w
+            some /= np.linalg.norm(some, axis=1, keepdims=True)
+            every = some.sum(axis=1)
+            for b in big:
+                to, w, _ = rows.w(b, t)
+                cos = (every + some[:, to] @ w) / (n + 2 * w.sum() + w @ w) ** 0.5
+                wider = cos > best[lo : lo + step]
+                best[lo : lo + step][wider], at[lo : lo + step][wider] = cos[wider], b
+        return pa.RecordBatch.from_pydict({"i": ids, "home": at})
+
+    for r in over(alone, closest, "i long, home long"):
+        home[r["i"]] = r["home"]
+    return home
 
 
 def modularity(s: DataFrame, members: DataFrame) -> DataFrame:
@@ -182,17 +424,21 @@ def modularity(s: DataFrame, members: DataFrame) -> DataFrame:
 
 def detect(vectors: DataFrame, triples: DataFrame, state: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(level, community, note_path) and (level, communities, sizes, modularity), level 0 coarse and 1 fine. Fewer than three notes give none."""
-    notes = vectors.select("note_path").distinct()
-    s = materialize(similarity(vectors, triples, state, edges), "similarity")
-    members, stats = None, None
-    for level, (beta, top_k), merge in ((0, COARSE, True), (1, FINE, False)):
-        m = materialize(attractor(s, notes, beta, top_k, merge), "communities")
-        row = size_stats(m).crossJoin(modularity(s, m)).withColumn("level", F.lit(level))
-        m = m.withColumn("level", F.lit(level))
-        members, stats = (m, row) if members is None else (members.unionByName(m), stats.unionByName(row))
-    if notes.count() < 3:
-        return members.limit(0), stats.limit(0)
-    return members, stats
+    spark, x = vectors.sparkSession, similarity(vectors, triples, state, edges)
+    n, rows, found = len(x.paths), [], []
+    if n >= 3:
+        near = x.nearest(max(COARSE[1], FINE[1])).toArrow()
+        i, j, value, nth = (near[c].to_numpy() for c in ("i", "j", "value", "nth"))
+        for (beta, top_k), merge in ((COARSE, True), (FINE, False)):
+            used = nth <= top_k
+            found.append(_homes(spark, n, i[used], j[used], value[used], beta, merge))
+        for level, (home, q) in enumerate(zip(found, x.modularity(*found))):
+            size = np.bincount(home)
+            size = size[size > 0]
+            rows.append((len(size), int(size.min()), int(size.max()), float(size.mean()), q, level))
+    members = pa.table({"note_path": pa.array(np.tile(x.paths, len(found)), pa.string()), "community": pa.array(x.paths[np.concatenate(found)] if found else [], pa.string()), "level": pa.array(np.repeat(np.arange(len(found)), n), pa.int32())})
+    schema = "n_communities long, min_size long, max_size long, mean_size double, modularity double, level int"
+    return spark.createDataFrame(members, "note_path string, community string, level int"), spark.createDataFrame(rows, schema)
 
 
 def size_stats(members: DataFrame) -> DataFrame:

@@ -92,19 +92,19 @@ _SIM = {
 }
 
 
-def _similarity(spark: SparkSession, d: str) -> DataFrame:
+def _similarity(spark: SparkSession, d: str) -> community.Blend:
     return community.similarity(t.chunk_vectors(spark, d), t.triples(spark, d), t.pair_state(spark, d), t.note_edges(spark, d))
 
 
 @query(sql("SELECT a, b, round(value, 6) AS value FROM sim", **_SIM))
 def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The blended similarity of notes, each pair once."""
-    return _similarity(spark, d).select("a", "b", F.round("value", 6).alias("value"))
+    return _similarity(spark, d).pairs().select("a", "b", F.round("value", 6).alias("value"))
 
 
 @query(sql("SELECT a, b, round(value, 6) AS value, nth FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(value, 9) DESC, b) AS nth FROM (SELECT a, b, value FROM sim UNION ALL SELECT b, a, value FROM sim)) WHERE nth <= 20", **_SIM))
 def row_topk(spark: SparkSession, d: str) -> DataFrame:
-    return community.row_topk(_similarity(spark, d), 20).select("a", "b", F.round("value", 6).alias("value"), "nth")
+    return _similarity(spark, d).row_topk(20).select("a", "b", F.round("value", 6).alias("value"), "nth")
 
 
 @query()
@@ -134,8 +134,8 @@ _FOLDERS = "SELECT note_path, string_split(note_path, '/')[1] AS community FROM
 def modularity(spark: SparkSession, d: str) -> DataFrame:
     """Modularity of the partition by top folder."""
     s = _similarity(spark, d)
-    folders = t.chunk_vectors(spark, d).select("note_path", F.element_at(F.split("note_path", "/"), 1).alias("community")).distinct()
-    return community.modularity(s, folders).select(F.round("modularity", 9).alias("modularity"))
+    q = s.modularity(s.folder)[0]
+    return spark.createDataFrame([(round(q, 9),)], "modularity double")
 
 
 @query(sql("SELECT count(*) AS n_communities, min(n) AS min_size, max(n) AS max_size, avg(n) AS mean_size FROM (SELECT string_split(path, '/')[1] AS c, count(*) AS n FROM v_notes GROUP BY 1)"))
