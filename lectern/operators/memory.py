@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import path_tags, wiki_links
 from lectern.functions.vectors import cosine
-from lectern.operators.bm25 import bm25, query_terms
+from lectern.operators.bm25 import best, query_terms
 from lectern.operators.graph import resolve_links
 
 # Types by how specific they are.
@@ -95,9 +95,7 @@ def stats(rows: DataFrame, as_of: Column) -> DataFrame:
 def similar_by_text(rows: DataFrame, queries: DataFrame, limit: int = 5, match_all: bool = False) -> DataFrame:
     """query_id, memory_id, rank: keyword candidates from the five longest distinct words of four characters or more."""
     terms = query_terms(queries, min_length=4, longest=5)
-    hits = bm25(rows, "memory_id", "content", queries, None, match_all, terms).where("query_id <> doc")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("rank", 9), "doc"))
-    return hits.withColumn("nth", nth).where(F.col("nth") <= limit).select("query_id", F.col("doc").alias("memory_id"), "rank")
+    return best(rows, "memory_id", "content", terms, limit, match_all).select("query_id", F.col("doc").alias("memory_id"), "rank")
 
 
 def suggest_tags(rows: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
