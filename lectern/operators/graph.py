@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -114,23 +116,27 @@ def components(nodes: DataFrame, adjacency: DataFrame, max_rounds: int = 60) ->
     raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
-def _brandes(neighbours: dict[str, list[str]], source: str) -> dict[str, float]:
-    """Dependencies of one source on every other note."""
-    level, paths, order, preds = {source: 0}, {source: 1.0}, [source], {}
-    for v in order:
-        for w in neighbours.get(v, ()):
-            if w not in level:
-                level[w] = level[v] + 1
-                paths[w] = 0.0
-                order.append(w)
-            if level[w] == level[v] + 1:
-                paths[w] += paths[v]
-                preds.setdefault(w, []).append(v)
-    share: dict[str, float] = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in preds.get(w, ()):
-            share[v] += paths[v] / paths[w] * (1 + share[w])
-    share.pop(source)
+def _brandes(start: np.ndarray, near: np.ndarray, source: int) -> np.ndarray:
+    """Dependencies of one source on every other note, level by level. The neighbours of note v are near[start[v] : start[v + 1]]."""
+    n = len(start) - 1
+    reached, paths, front, steps = np.zeros(n, dtype=bool), np.zeros(n), np.array([source]), []
+    reached[source], paths[source] = True, 1.0
+    while True:
+        count = start[front + 1] - start[front]
+        v = np.repeat(front, count)
+        w = near[np.repeat(start[front] - np.cumsum(count) + count, count) + np.arange(len(v))]
+        new = ~reached[w]
+        v, w = v[new], w[new]
+        if not len(w):
+            break
+        got = np.bincount(w, paths[v], minlength=n)
+        front = np.flatnonzero(got)
+        paths[front], reached[front] = got[front], True
+        steps.append((v, w))
+    share = np.zeros(n)
+    for v, w in reversed(steps):
+        share += np.bincount(v, paths[v] / paths[w] * (1 + share[w]), minlength=n)
+    share[source] = 0.0
     return share
 
 
@@ -144,21 +150,22 @@ def betweenness(nodes: DataFrame, adjacency: DataFrame, max_broadcast_edges: int
     adjacency = materialize(adjacency, "adjacency")
     if adjacency.count() > max_broadcast_edges:
         return _betweenness_joins(nodes, adjacency)
-    held: dict[str, list[str]] = {}
-    for r in adjacency.orderBy("a", "b").collect():
-        held.setdefault(r["a"], []).append(r["b"])
-    shared = spark.sparkContext.broadcast(held)
+    got = adjacency.select("a", "b").toArrow()
+    names = pc.unique(got["a"])  # every link is there in both orders
+    a, b = (pc.index_in(got[c], value_set=names).to_numpy().astype(np.int64) for c in ("a", "b"))
+    order = np.lexsort((b, a))
+    shared = spark.sparkContext.broadcast((names.to_pylist(), np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(names)))]), b[order]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, float] = {}
-        for b in batches:
-            for s in b["a"]:
-                for v, x in _brandes(shared.value, s).items():
-                    if x:
-                        total[v] = total.get(v, 0.0) + x
-        yield pd.DataFrame({"path": list(total), "part": list(total.values())})
-
-    sources = adjacency.select("a").distinct().repartition(spark.sparkContext.defaultParallelism)
+        names, start, near = shared.value
+        total = np.zeros(len(names))
+        for batch in batches:
+            for s in batch["id"]:
+                total += _brandes(start, near, s)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"path": [names[v] for v in some], "part": total[some]})
+
+    sources = spark.range(0, len(names), 1, 4 * spark.sparkContext.defaultParallelism)
     part = sources.mapInPandas(run, "path string, part double").groupBy("path").agg((F.sum("part") / 2).alias("betweenness"))
     return nodes.select("path").distinct().join(part, "path", "left").select("path", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
