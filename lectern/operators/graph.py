@@ -163,7 +163,8 @@ def betweenness(nodes: DataFrame, adjacency: DataFrame, max_broadcast_edges: int
             for s in batch["id"]:
                 total += _brandes(start, near, s)
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"path": [names[v] for v in some], "part": total[some]})
+        if len(some):
+            yield pd.DataFrame({"path": [names[v] for v in some], "part": total[some]})
 
     sources = spark.range(0, len(names), 1, 4 * spark.sparkContext.defaultParallelism)
     part = sources.mapInPandas(run, "path string, part double").groupBy("path").agg((F.sum("part") / 2).alias("betweenness"))
