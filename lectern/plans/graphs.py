@@ -135,7 +135,7 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
 def bridges(spark: SparkSession, d: str) -> DataFrame:
     """The 10 notes of greatest betweenness and the fragments left without each."""
     nodes, adj = _nodes(spark, d), _adjacency(spark, d)
-    top = graph.betweenness(nodes, adj).where("betweenness > 0").orderBy(F.round("betweenness", 6).desc(), "path").limit(10)
+    top = materialize(graph.betweenness(nodes, adj).where("betweenness > 0").orderBy(F.round("betweenness", 6).desc(), "path").limit(10), "top")
     whole = graph.components(nodes, adj).agg(F.countDistinct("component").alias("whole"))
     frag = graph.articulation(nodes, adj, top)
     return top.join(frag, "path").crossJoin(F.broadcast(whole)).select("path", F.round("betweenness", 6).alias("betweenness"), "fragments", (F.col("fragments") > F.col("whole")).alias("articulation"))
