@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +20,24 @@ from lectern.session import width
 SEMANTIC, COOCCURRENCE, LINKS, FOLDER = 0.6, 0.25, 0.15, 0.3
 MIN_SHARED, THRESHOLD_K = 2, 0.5
 COARSE, FINE = (0.5, 80), (2.0, 20)
+ROWS, COLUMNS = 128, 1024  # of a tile: it and its vectors fit into a core's cache
 
 
 def note_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("note_path").agg(mean_vector(F.col("vec")).alias("vec"))
 
 
+@lru_cache(maxsize=256)
+def _couples(m: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(m, 1)
+
+
 @dataclass(frozen=True)
 class Blend:
     """The weighted similarity of all pairs of notes, by row blocks and never as a whole.
 
-    Notes are numbered by path. A task gets what belongs to single notes (a vector of 512 bytes, folder, entities, links), and compares its
-    rows with all notes in one matrix product a block: nothing is shuffled, and only results leave the task.
+    Notes are numbered by path. A task gets what belongs to single notes (a vector of 512 bytes, folder, entities, links), once for all passes, and compares its
+    rows with all notes tile by tile, in matrix products that stay in a core's cache: nothing is shuffled, and only results leave the task.
     """
 
     spark: SparkSession
@@ -41,111 +49,158 @@ class Blend:
     floor: float = -1.0  # least cosine that counts
     top: float = 1.0  # greatest raw value of shared entities
     semantic: float = SEMANTIC
-
-    @property
-    def rows(self) -> int:
-        return max(1, min(256, 1_000_000 // max(1, len(self.paths))))
+    sent: Broadcast | None = None  # this blend, as tasks have it
 
     def run(self, work, schema: str, rows: int | None = None) -> DataFrame:
-        """work(blend, first row, end) -> record batches, over all row blocks."""
-        n, shared = len(self.paths), self.spark.sparkContext.broadcast(replace(self, spark=None))
-        size = rows or self.rows
+        """work(blend, (first row, end) of each row block of the task) -> record batches, over all row blocks."""
+        n, shared = len(self.paths), self.sent or self.spark.sparkContext.broadcast(replace(self, spark=None))
+        size, now = rows or ROWS, {"floor": self.floor, "top": self.top, "semantic": self.semantic}
         blocks = -(-n // size)
         starts = self.spark.range(0, blocks * size, size, min(max(1, blocks), 16 * width(self.spark)))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo in b.column("id").to_pylist():
-                    yield from work(shared.value, lo, min(n, lo + size))
+            yield from work(replace(shared.value, **now), ((lo, min(n, lo + size)) for b in batches for lo in b.column("id").to_pylist()))
 
         return starts.mapInArrow(each, schema)
 
-    def cosines(self, lo: int, hi: int, first: int = 0) -> np.ndarray:
-        return np.clip(self.unit[lo:hi] @ self.unit[first:].T, 0, 1)
-
-    def raw(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Notes that share at least MIN_SHARED entities with note i, with the count plus the stored weights of pairs among the shared ones."""
+    def raw(self, i: int, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Notes that share at least MIN_SHARED entities with note i, with the count plus the stored weights of pairs among the shared ones. mark: a zero per note."""
         (at, ents), (start, notes), (keys, weights), n_ents = self.posts
         own = ents[at[i] : at[i + 1]]
-        if len(own) < MIN_SHARED:
+        m = len(own)
+        if m < MIN_SHARED:
             return np.empty(0, dtype=np.int64), np.empty(0)
         lists = [notes[start[e] : start[e + 1]] for e in own]
+        x, y = _couples(m)
+        key = own[x] * n_ents + own[y]  # own is sorted
+        found = np.searchsorted(keys, key)
+        hit = np.flatnonzero((found < len(keys)) & (keys[np.minimum(found, max(0, len(keys) - 1))] == key)) if len(keys) else ()
+        if m > 63:
+            return self._raw_of_many(i, lists, [(x[p], y[p], weights[found[p]]) for p in hit])
+        for k, one in enumerate(lists):
+            mark[one] |= np.uint64(1 << k)
+        mark[i] = 0
+        longest = max(range(m), key=lambda k: len(lists[k]))
+        js = np.concatenate([one for k, one in enumerate(lists) if k != longest])  # one of two shared entities isn't the longest
+        bits = mark[js]
+        js = np.unique(js[bits & (bits - np.uint64(1)) != 0])
+        bits = mark[js]
+        for one in lists:
+            mark[one] = 0
+        kinds = np.arange(1 << m, dtype=np.uint64) if m <= 10 else bits
+        value = np.bitwise_count(kinds).astype(np.float64)
+        for p in hit:
+            value += weights[found[p]] * ((kinds >> np.uint64(x[p])) & (kinds >> np.uint64(y[p])) & np.uint64(1))
+        return js, value[bits.astype(np.int64)] if m <= 10 else value
+
+    def _raw_of_many(self, i: int, lists: list, hits: list) -> tuple[np.ndarray, np.ndarray]:
+        """raw() of a note with more entities than a word has bits."""
         shared = np.bincount(np.concatenate(lists), minlength=len(self.paths)).astype(np.float64)
         shared[i] = 0
         js = np.flatnonzero(shared >= MIN_SHARED)
-        x, y = np.triu_indices(len(own), 1)
-        key = own[x] * n_ents + own[y]  # own is sorted
-        found = np.searchsorted(keys, key)
-        hit = (found < len(keys)) & (keys[np.minimum(found, max(0, len(keys) - 1))] == key) if len(keys) else np.zeros(len(key), dtype=bool)
         mark = np.zeros(len(self.paths), dtype=bool)
-        for p in np.flatnonzero(hit):
-            mark[lists[x[p]]] = True
-            shared[lists[y[p]][mark[lists[y[p]]]]] += weights[found[p]]
-            mark[lists[x[p]]] = False
+        for x, y, w in hits:
+            mark[lists[x]] = True
+            shared[lists[y][mark[lists[y]]]] += w
+            mark[lists[x]] = False
         return js, shared[js]
 
-    def values(self, lo: int, hi: int) -> np.ndarray:
-        """Rows lo to hi of the similarity, 0 where there is none."""
-        v = self.cosines(lo, hi)
-        v[v < max(self.floor, 1e-12)] = 0
-        v *= self.semantic
-        if self.folder is not None:
-            v += FOLDER * (self.folder[lo:hi, None] == self.folder[None, :])
-        for i in range(lo, hi):
-            if self.posts is not None:
-                js, raw = self.raw(i)
-                v[i - lo, js] += COOCCURRENCE * raw / self.top
-            if self.links is not None:
-                v[i - lo, self.links[1][self.links[0][i] : self.links[0][i + 1]]] += LINKS
-        v[np.arange(hi - lo), np.arange(lo, hi)] = 0
-        return v
+    def _added(self, lo: int, hi: int, mark: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row - lo, note, value) of shared entities, and the same of links, by note."""
+        out = []
+        if self.posts is not None:
+            js, raw = zip(*(self.raw(i, mark) for i in range(lo, hi)))
+            out.append((np.repeat(np.arange(hi - lo), [len(j) for j in js]), np.concatenate(js), COOCCURRENCE * np.concatenate(raw) / self.top))
+        if self.links is not None:
+            at, to = self.links
+            js = to[at[lo] : at[hi]]
+            out.append((np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1])), js, np.full(len(js), LINKS)))
+        return [tuple(x[order] for x in one) for one in out for order in [np.argsort(one[1], kind="stable")]]
+
+    def tiles(self, lo: int, hi: int, mark: np.ndarray, first: int = 0, near: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(c, d, rows lo to hi of the similarity's columns c to d), 0 where there is none, from column first. near: beginning at the rows' own columns."""
+        n, added, least = len(self.paths), self._added(lo, hi, mark), max(self.floor, 1e-12)
+        starts = list(range(first, n, COLUMNS))
+        if near:
+            at = (lo - first) // COLUMNS
+            starts = starts[at:] + starts[:at]
+        for c in starts:
+            d = min(n, c + COLUMNS)
+            v = self.unit[lo:hi] @ self.unit[c:d].T
+            np.minimum(v, 1, out=v)
+            np.multiply(v, v >= least, out=v)
+            v *= self.semantic
+            if self.folder is not None:
+                v += FOLDER * same if np.ndim(same := _same(self.folder, lo, hi, c, d)) else FOLDER * int(same)
+            for r, j, value in added:
+                a, b = np.searchsorted(j, (c, d))
+                v[r[a:b], j[a:b] - c] += value[a:b]
+            own = np.arange(max(lo, c), min(hi, d))
+            v[own - lo, own - c] = 0
+            yield c, d, v
+
+    def upper(self, lo: int, hi: int, mark: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """tiles() of the pairs that begin in rows lo to hi, each pair once."""
+        for c, d, v in self.tiles(lo, hi, mark, lo):
+            yield c, d, np.triu(v, lo - c + 1) if c < hi else v
 
     def measured(self, k: float | None, rows: int | None = None) -> Blend:
         """With the least cosine, mean + k * population deviation over all pairs, and the greatest raw value."""
 
-        def moments(x: Blend, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        def moments(x: Blend, blocks: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             s1 = s2 = top = 0.0
-            if k is not None:
-                s = x.cosines(lo, hi, lo)
-                s[np.tril_indices(hi - lo)] = 0  # each pair once
-                s1, s2 = float(s.sum()), float((s * s).sum())
-            if x.posts is not None:
-                top = max((float(raw.max()) for _, raw in map(x.raw, range(lo, hi)) if len(raw)), default=0.0)
+            n, mark = len(x.paths), np.zeros(len(x.paths), dtype=np.uint64)
+            for lo, hi in blocks:
+                for c in range(lo, n if k is not None else lo, COLUMNS):
+                    s = x.unit[lo:hi] @ x.unit[c : min(n, c + COLUMNS)].T
+                    np.clip(s, 0, 1, out=s)
+                    s = np.triu(s, lo - c + 1) if c < hi else s  # each pair once
+                    s1, s2 = s1 + float(s.sum()), s2 + float(np.vdot(s, s))
+                if x.posts is not None:
+                    top = max([top, *(float(raw.max()) for _, raw in (x.raw(i, mark) for i in range(lo, hi)) if len(raw))])
             yield pa.RecordBatch.from_pydict({"s1": [s1], "s2": [s2], "top": [top]})
 
-        n = len(self.paths)
-        m = self.run(moments, "s1 double, s2 double, top double", rows).agg(F.sum("s1"), F.sum("s2"), F.max("top")).first()
+        n, x = len(self.paths), replace(self, sent=self.spark.sparkContext.broadcast(replace(self, spark=None)))
+        m = x.run(moments, "s1 double, s2 double, top double", rows).agg(F.sum("s1"), F.sum("s2"), F.max("top")).first()
         floor, pairs = -1.0, n * (n - 1) / 2
         if k is not None and pairs:
             mean = m[0] / pairs
             floor = mean + k * max(0.0, m[1] / pairs - mean * mean) ** 0.5
-        return replace(self, floor=floor, top=m[2] or 1.0)
+        return replace(x, floor=floor, top=m[2] or 1.0)
 
     def pairs(self, rows: int | None = None) -> DataFrame:
         """a < b, value: every pair that has a similarity."""
 
-        def each(x: Blend, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
-            names = pa.array(x.paths, pa.string())
-            v = x.values(lo, hi)
-            for r in range(hi - lo):
-                j = lo + r + 1 + np.flatnonzero(v[r, lo + r + 1 :] > 0)
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(j), lo + r))), names.take(pa.array(j)), pa.array(v[r, j])], names=["a", "b", "value"])
+        def each(x: Blend, blocks: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            names, mark = pa.array(x.paths, pa.string()), np.zeros(len(x.paths), dtype=np.uint64)
+            for lo, hi in blocks:
+                for c, _, v in x.upper(lo, hi, mark):
+                    r, j = np.nonzero(v > 0)
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(lo + r)), names.take(pa.array(c + j)), pa.array(v[r, j])], names=["a", "b", "value"])
 
         return self.run(each, "a string, b string, value double", rows)
 
-    def nearest(self, k: int) -> DataFrame:
+    def nearest(self, k: int, rows: int | None = None) -> DataFrame:
         """i, j, value, nth: numbers of the k most similar notes of each (ties by number, that is by path)."""
 
-        def each(x: Blend, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
-            v = x.values(lo, hi)
-            last = np.partition(v, max(0, v.shape[1] - k), axis=1)[:, max(0, v.shape[1] - k)]
-            for r in range(hi - lo):
-                j = np.flatnonzero((v[r] >= last[r] - 2e-9) & (v[r] > 0))
-                j = j[np.lexsort((j, -np.round(v[r, j], 9)))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), lo + r)), pa.array(j), pa.array(v[r, j]), pa.array(np.arange(1, len(j) + 1))], names=["i", "j", "value", "nth"])
-
-        return self.run(each, "i long, j long, value double, nth long")
+        def each(x: Blend, blocks: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            mark = np.zeros(len(x.paths), dtype=np.uint64)
+            for lo, hi in blocks:
+                least = np.full(hi - lo, np.finfo(np.float64).tiny)
+                kept, held = [], 0
+                for c, _, v in x.tiles(lo, hi, mark, near=True):
+                    r, j = np.nonzero(v >= least[:, None])
+                    kept.append((r, c + j, v[r, j]))
+                    held += len(r)
+                    if held > 4 * k * (hi - lo):
+                        kept, least = _leading(kept, k, least)
+                        held = len(kept[0][0])
+                [(r, j, value)], _ = _leading(kept, k, least)
+                nth = np.arange(len(r)) - np.searchsorted(r, r) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(lo + r), pa.array(j), pa.array(value), pa.array(nth)], names=["i", "j", "value", "nth"])
+
+        return self.run(each, "i long, j long, value double, nth long", rows)
 
     def row_topk(self, k: int) -> DataFrame:
         """a, b, value, nth as row_topk has them of listed pairs."""
@@ -160,20 +215,49 @@ class Blend:
 
     def modularity(self, *partitions: np.ndarray) -> list[float]:
         """Of each partition, a community number per note, on the whole similarity."""
-        n = len(self.paths)
         shared = self.spark.sparkContext.broadcast(partitions)
 
-        def sums(x: Blend, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
-            v = x.values(lo, hi)
-            inside = [float((v * (g[lo:hi, None] == g[None, :])).sum()) for g in shared.value]
-            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([v.sum(axis=1)], pa.list_(pa.float64())), pa.array([inside], pa.list_(pa.float64()))], names=["lo", "strength", "inside"])
-
-        strength, inside = np.zeros(n), np.zeros(len(partitions))
-        for r in self.run(sums, "lo long, strength array<double>, inside array<double>").collect():
-            strength[r["lo"] : r["lo"] + len(r["strength"])] = r["strength"]
-            inside += r["inside"]
-        total = strength.sum()
-        return [float(x / total - (np.bincount(g, strength) ** 2).sum() / total**2) if total else 0.0 for x, g in zip(inside, partitions)]
+        def sums(x: Blend, blocks: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            inside, strength, mark = np.zeros(len(shared.value)), [np.zeros(int(g.max(initial=0)) + 1) for g in shared.value], np.zeros(len(x.paths), dtype=np.uint64)
+            for lo, hi in blocks:
+                for c, d, v in x.upper(lo, hi, mark):
+                    here, there = v.sum(axis=1), v.sum(axis=0)
+                    for p, g in enumerate(shared.value):
+                        np.add.at(strength[p], g[lo:hi], here)
+                        np.add.at(strength[p], g[c:d], there)
+                        same = _same(g, lo, hi, c, d)
+                        inside[p] += 2 * float(v[same].sum() if np.ndim(same) else here.sum() if same else 0)
+            for p, own in enumerate(strength):
+                of = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of) + 1, p)), pa.array(np.append(of, -1)), pa.array(np.append(own[of], inside[p]))], names=["p", "community", "value"])
+
+        out, found = [], self.run(sums, "p long, community long, value double").groupBy("p", "community").agg(F.sum("value").alias("value")).toArrow()
+        part, community, value = (found[c].to_numpy() for c in ("p", "community", "value"))
+        for p in range(len(partitions)):
+            inside, strength = value[(part == p) & (community < 0)].sum(), value[(part == p) & (community >= 0)]
+            total = strength.sum()
+            out.append(float(inside / total - (strength**2).sum() / total**2) if total else 0.0)
+        return out
+
+
+def _same(group: np.ndarray, lo: int, hi: int, c: int, d: int) -> np.ndarray | bool:
+    """Which pairs of rows lo to hi and columns c to d are of one group; one answer where all are or none is."""
+    a, b = group[lo:hi], group[c:d]
+    if (a == a[0]).all() and (b == b[0]).all():
+        return bool(a[0] == b[0])
+    return a[:, None] == b[None, :]
+
+
+def _leading(kept: list, k: int, least: np.ndarray) -> tuple[list, np.ndarray]:
+    """The k first of each row by rounded value and note, and what a value must reach to be among them."""
+    r, j, value = (np.concatenate(x) for x in zip(*kept))
+    order = np.lexsort((j, -np.round(value, 9), r))
+    r, j, value = r[order], j[order], value[order]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    last, least = nth == k - 1, least.copy()
+    least[r[last]] = np.maximum(least[r[last]], value[last] - 2e-9)
+    first = nth < k
+    return [(r[first], j[first], value[first])], least
 
 
 def _grouped(key: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -93,7 +93,7 @@ _SIM = {
 
 
 def _similarity(spark: SparkSession, d: str) -> community.Blend:
-    return community.similarity(t.chunk_vectors(spark, d), t.triples(spark, d), t.pair_state(spark, d), t.note_edges(spark, d))
+    return community.similarity(t.chunk_vectors(spark, d, True), t.triples(spark, d), t.pair_state(spark, d), t.note_edges(spark, d))
 
 
 @query(sql("SELECT a, b, round(value, 6) AS value FROM sim", **_SIM))
@@ -109,13 +109,13 @@ def row_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def attractor_communities(spark: SparkSession, d: str) -> DataFrame:
-    members, _ = community.detect(t.chunk_vectors(spark, d), t.triples(spark, d), t.pair_state(spark, d), t.note_edges(spark, d))
+    members, _ = community.detect(t.chunk_vectors(spark, d, True), t.triples(spark, d), t.pair_state(spark, d), t.note_edges(spark, d))
     return members
 
 
 @query()
 def community_stats(spark: SparkSession, d: str) -> DataFrame:
-    _, stats = community.detect(t.chunk_vectors(spark, d), t.triples(spark, d), t.pair_state(spark, d), t.note_edges(spark, d))
+    _, stats = community.detect(t.chunk_vectors(spark, d, True), t.triples(spark, d), t.pair_state(spark, d), t.note_edges(spark, d))
     return stats.select("level", "n_communities", "min_size", "max_size", F.round("mean_size", 6).alias("mean_size"), F.round("modularity", 6).alias("modularity"))
 
 

@@ -31,10 +31,11 @@ def usable(e: Column, dim: int = 64) -> Column:
     return (F.size(e) == dim) & finite & F.exists(e, lambda x: x != 0)
 
 
-def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """chunk_id, note_path, vec (doubles) of every usable embedding."""
+def chunk_vectors(spark: SparkSession, d: str, by_note: bool = False) -> DataFrame:
+    """chunk_id, note_path, vec (doubles) of every usable embedding. by_note: shuffled once, by note, so that aggregates by note need no shuffle of their own."""
     src = table(spark, d, "chunks").where("chunk_id IS NOT NULL AND note_path IS NOT NULL").where(usable(F.col("embedding")))
-    return src.select("chunk_id", "note_path", F.col("embedding").cast("array<double>").alias("vec")).distinct()
+    rows = src.select("chunk_id", "note_path", "embedding")
+    return (rows.repartition("note_path") if by_note else rows).distinct().select("chunk_id", "note_path", F.col("embedding").cast("array<double>").alias("vec"))
 
 
 def triples(spark: SparkSession, d: str) -> DataFrame:

@@ -113,3 +113,62 @@ def test_statistics_of_more_notes_than_a_dense_matrix_holds(spark, tables, monke
     assert [sorted(map(tuple, df.collect())) for df in community.detect(vectors, triples, state, edges)] == dense
     few = vectors.where("note_path < 'a/n04'")
     assert [df.count() for df in community.detect(few, triples, state, edges)] == [0, 0]
+
+
+def test_notes_are_sent_to_tasks_once(spark, tables, monkeypatch):
+    _, _, vectors, triples, state, edges = tables
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(value), broadcast(self, value))[1])
+    x = community.similarity(vectors, triples, state, edges)
+    x.modularity(x.folder)
+    x.row_topk(4).collect()
+    assert sum(isinstance(v, community.Blend) for v in sent) == 1
+
+
+def test_tiles_and_blocks_of_any_size(spark, tables, monkeypatch):
+    names, facts, vectors, triples, state, edges = tables
+    want = brute(names, facts, vectors, state, edges)
+    x = community.similarity(vectors, triples, state, edges)
+    near = sorted(map(tuple, x.nearest(4).collect()))
+    mark = np.zeros(len(names), dtype=np.uint64)
+    monkeypatch.setattr(community, "COLUMNS", 3)
+    for lo, hi in ((0, 5), (5, 14)):
+        got = {(lo + int(r), c + int(j)): v[r, j] for c, _, v in x.upper(lo, hi, mark) for r, j in zip(*np.nonzero(v))}
+        wanted = {(i, j): want[names_i, names_j] for i, names_i in enumerate(x.paths) for j, names_j in enumerate(x.paths) if lo <= i < hi and (names_i, names_j) in want}
+        assert set(got) == set(wanted) and all(math.isclose(got[k], wanted[k], abs_tol=1e-9) for k in got)
+        rows = np.concatenate([v for _, _, v in sorted(x.tiles(lo, hi, mark, near=True), key=lambda t: t[0])], axis=1)
+        for r in range(lo, hi):
+            first = sorted((-round(v, 9), j) for j, v in enumerate(rows[r - lo]) if v > 0)[:4]
+            assert [j for _, j in first] == [j for i, j, _, _ in sorted(near, key=lambda t: (t[0], t[3])) if i == r]
+
+
+def test_leading_notes_of_a_row_while_tiles_come_in():
+    rnd = np.random.default_rng(1)
+    value = np.round(rnd.random((6, 40)), 1)
+    least, kept = np.full(6, 1e-300), []
+    for c in range(0, 40, 7):
+        r, j = np.nonzero(value[:, c : c + 7] >= least[:, None])
+        kept, least = community._leading([*kept, (r, c + j, value[r, c + j])], 5, least)
+    [(r, j, _)] = kept
+    for i in range(6):
+        assert list(j[r == i]) == [x for _, x in sorted((-v, x) for x, v in enumerate(value[i]) if v > 0)[:5]]
+
+
+def test_shared_entities_of_notes_with_few_or_many(spark):
+    rnd = np.random.default_rng(4)
+    n, m = 30, 90
+    has = rnd.random((n, m)) < np.where(np.arange(n) < 3, 0.9, 0.1)[:, None]
+    note, ent = np.nonzero(has)
+    couples = sorted({tuple(sorted(rnd.choice(m, 2, replace=False).tolist())) for _ in range(400)})
+    weight = rnd.random(len(couples))
+    keys = np.array([a * m + b for a, b in couples])
+    x = community.Blend(spark, np.arange(n).astype(str).astype(object), np.zeros((n, 1)), posts=(community._grouped(note, ent, n), community._grouped(ent, note, m), (keys, weight), m))
+    mark = np.zeros(n, dtype=np.uint64)
+    for i in range(n):
+        want = {}
+        for j in range(n):
+            both = has[i] & has[j]
+            if i != j and both.sum() >= 2:
+                want[j] = both.sum() + sum(w for (a, b), w in zip(couples, weight) if both[a] and both[b])
+        js, raw = x.raw(i, mark)
+        assert js.tolist() == sorted(want) and np.allclose(raw, [want[j] for j in js.tolist()]) and not mark.any()
