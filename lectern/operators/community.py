@@ -387,13 +387,24 @@ class _Rows:
     """
 
     def __init__(self, n: int, start: np.ndarray, near: np.ndarray, value: np.ndarray, beta: float):
-        self.n, self.start, self.near, self.value, self.beta, self.kept, self.held = n, start, near, value, beta, {}, 0
+        self.n, self.start, self.near, self.value, self.beta, self.kept, self.held, self.before = n, start, near, value, beta, {}, 0, np.zeros(n)
+        # w / z of the first round as a rectangle: rows have few entries, and where one has less, note n fills it up with 0.
+        row = np.repeat(np.arange(n), np.diff(start))
+        at = np.arange(len(near)) - start[row]
+        self.notes, self.first = np.full((n, max(1, int(np.diff(start).max(initial=0)))), n, dtype=np.int32), np.zeros((n, max(1, int(np.diff(start).max(initial=0)))))
+        self.notes[row, at], self.first[row, at] = near, np.expm1(beta * value)
+        self.first /= n + self.first.sum(axis=1, keepdims=True)
 
     def p(self, i: int, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Notes and p of row i after t rounds."""
         a, b = self.start[i], self.start[i + 1]
         if t == 1 or a == b:
             return self.near[a:b], self.value[a:b]
+        if t == 2:
+            j = self.near[a:b]
+            sums = np.bincount(self.notes[j].ravel(), (self.value[a:b, None] * self.first[j]).ravel(), minlength=self.n + 1)[: self.n]
+            at = np.flatnonzero(sums)
+            return at, sums[at]
         parts = [(m, *self.w(j, t - 1)) for m, j in zip(self.value[a:b], self.near[a:b])]
         sums = np.bincount(np.concatenate([x for _, x, _, _ in parts]), np.concatenate([m / z * w for m, _, w, z in parts]), minlength=self.n)
         at = np.flatnonzero(sums)
@@ -414,21 +425,26 @@ class _Rows:
     def moved(self, i: int, t: int) -> float:
         """How far row i moved in round t."""
         at, w, z = self.w(i, t)
-        new = np.full(self.n, 1 / z)
-        new[at] = (1 + w) / z
         if t == 1:
+            new = np.full(self.n, 1 / z)
+            new[at] = (1 + w) / z
             new[i] -= 1
-        else:
-            at, w, z = self.w(i, t - 1)
-            new -= 1 / z
-            new[at] -= w / z
-        return float(np.abs(new).max())
+            return float(np.abs(new).max())
+        was_at, was, was_z = self.w(i, t - 1)
+        self.before[was_at] = was
+        inside = np.abs((1 + w) / z - (1 + self.before[at]) / was_z).max(initial=0.0)
+        self.before[at] = 0
+        left = was_at[self.before[was_at] != 0]  # notes that aren't reached any more
+        gone = np.abs(1 / z - (1 + self.before[left]) / was_z).max(initial=0.0)
+        self.before[was_at] = 0
+        return float(max(inside, gone, abs(1 / z - 1 / was_z) if len(at) + len(left) < self.n else 0.0))
 
     def home(self, i: int, t: int) -> int:
         """The greatest of row i; equal up to rounding, the first."""
-        at, p = self.p(i, t)
-        if not len(at) or p.max() <= 0:
+        at, w, _ = self.w(i, t)
+        if not len(at) or w.max() <= 0:
             return 0
+        p = np.log1p(w)
         return int(at[p >= p.max() * (1 - 1e-9)].min())
 
 
@@ -454,19 +470,23 @@ def _settled(spark: SparkSession, n: int, i: np.ndarray, j: np.ndarray, value: n
         return spark.range(0, parts, 1, parts).mapInArrow(each, schema).collect()
 
     every, home = np.arange(n), np.zeros(n, dtype=np.int64)
-    for t in range(1, iterations(n) + 1):
-
-        def moved(rows: _Rows, ids: np.ndarray, t: int = t) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"moved": [max(rows.moved(x, t) for x in ids)]})
-
-        if t > 1 and max(r["moved"] for r in over(every, moved, "moved double")) < tolerance:
+    for t in range(2, iterations(n) + 1):
+
+        def round_of(rows: _Rows, ids: np.ndarray, t: int = t, last: bool = t == iterations(n)) -> pa.RecordBatch:
+            """The attractors, unless a row still moves."""
+            homes = []
+            for x in ids:
+                if not last and rows.moved(x, t) >= tolerance:
+                    return pa.RecordBatch.from_pydict({"settled": [False], "first": [ids[0]], "home": pa.array([[]], pa.list_(pa.int64()))})
+                homes.append(rows.home(x, t))
+            return pa.RecordBatch.from_pydict({"settled": [True], "first": [ids[0]], "home": pa.array([homes], pa.list_(pa.int64()))})
+
+        got = over(every, round_of, "settled boolean, first long, home array<long>")
+        if all(r["settled"] for r in got):
+            for r in got:
+                home[r["first"] : r["first"] + len(r["home"])] = r["home"]
             break
 
-    def homes(rows: _Rows, ids: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"i": ids, "home": [rows.home(x, t) for x in ids]})
-
-    for r in over(every, homes, "i long, home long"):
-        home[r["i"]] = r["home"]
     size = np.bincount(home, minlength=n)
     big, alone = np.flatnonzero(size > 1), np.flatnonzero(size[home] == 1)
     if not merge_singletons or not len(big) or not len(alone):

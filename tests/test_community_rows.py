@@ -172,3 +172,32 @@ def test_shared_entities_of_notes_with_few_or_many(spark):
                 want[j] = both.sum() + sum(w for (a, b), w in zip(couples, weight) if both[a] and both[b])
         js, raw = x.raw(i, mark)
         assert js.tolist() == sorted(want) and np.allclose(raw, [want[j] for j in js.tolist()]) and not mark.any()
+
+
+def test_rows_of_the_state_against_the_dense_state():
+    rnd = np.random.default_rng(7)
+    n, beta = 40, 1.5
+    m = np.where(rnd.random((n, n)) < 0.08, rnd.random((n, n)), 0)
+    m[3] = 0  # a note without a neighbour
+    i, j = np.nonzero(m)
+    rows = community._Rows(n, np.concatenate([[0], np.cumsum(np.bincount(i, minlength=n))]), j, m[i, j], beta)
+    state = np.eye(n)
+    for t in range(1, 5):
+        z = np.exp(beta * (m @ state))
+        z /= z.sum(axis=1, keepdims=True)
+        for x in range(n):
+            at, w, total = rows.w(x, t)
+            got = np.full(n, 1 / total)
+            got[at] = (1 + w) / total
+            assert np.allclose(got, z[x], rtol=0, atol=1e-12) and math.isclose(rows.moved(x, t), np.abs(z[x] - state[x]).max(), abs_tol=1e-12)
+            assert rows.home(x, t) == np.flatnonzero(z[x] >= z[x].max() * (1 - 1e-12))[0] and not rows.before.any()
+        state = z
+
+
+def test_a_round_gives_attractors_and_movement_in_one_job(spark, monkeypatch):
+    names, s, n = listed(spark)
+    jobs, plain = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema, *a, **k: (jobs.append(schema), plain(self, f, schema, *a, **k))[1])
+    rows = {r[0]: r[1] for r in community.attractor(s, n, 0.5, 4, False, max_notes=3).collect()}
+    assert rows == dense(names, s, 0.5, 4, False)
+    assert len([x for x in jobs if "home" in x]) == len(jobs)
