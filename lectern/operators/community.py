@@ -402,7 +402,13 @@ class _Rows:
             return self.near[a:b], self.value[a:b]
         if t == 2:
             j = self.near[a:b]
-            sums = np.bincount(self.notes[j].ravel(), (self.value[a:b, None] * self.first[j]).ravel(), minlength=self.n + 1)[: self.n]
+            to, part = self.notes[j].ravel(), (self.value[a:b, None] * self.first[j]).ravel()
+            if 16 * len(to) < self.n:
+                at, back = np.unique(to, return_inverse=True)
+                sums = np.bincount(back, part)
+                some = (at < self.n) & (sums != 0)
+                return at[some], sums[some]
+            sums = np.bincount(to, part, minlength=self.n + 1)[: self.n]
             at = np.flatnonzero(sums)
             return at, sums[at]
         parts = [(m, *self.w(j, t - 1)) for m, j in zip(self.value[a:b], self.near[a:b])]
@@ -497,15 +503,15 @@ def _settled(spark: SparkSession, n: int, i: np.ndarray, j: np.ndarray, value: n
         best, at = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=np.int64)
         step = max(1, 4_000_000 // n)
         for lo in range(0, len(ids), step):
-            some = np.ones((len(ids[lo : lo + step]), n))
+            some = np.ones((n, len(ids[lo : lo + step])))  # a column each: what a row of `to` has lies together
             for x, i in enumerate(ids[lo : lo + step]):
                 to, w, _ = rows.w(home[i], t)
-                some[x, to] += w
-            some /= np.linalg.norm(some, axis=1, keepdims=True)
-            every = some.sum(axis=1)
+                some[to, x] += w
+            some /= np.linalg.norm(some, axis=0)
+            every = some.sum(axis=0)
             for b in big:
                 to, w, _ = rows.w(b, t)
-                cos = (every + some[:, to] @ w) / (n + 2 * w.sum() + w @ w) ** 0.5
+                cos = (every + w @ some[to]) / (n + 2 * w.sum() + w @ w) ** 0.5
                 wider = cos > best[lo : lo + step]
                 best[lo : lo + step][wider], at[lo : lo + step][wider] = cos[wider], b
         return pa.RecordBatch.from_pydict({"i": ids, "home": at})

@@ -201,3 +201,16 @@ def test_a_round_gives_attractors_and_movement_in_one_job(spark, monkeypatch):
     rows = {r[0]: r[1] for r in community.attractor(s, n, 0.5, 4, False, max_notes=3).collect()}
     assert rows == dense(names, s, 0.5, 4, False)
     assert len([x for x in jobs if "home" in x]) == len(jobs)
+
+
+def test_second_round_of_few_entries_among_many_notes():
+    n, beta = 200, 2.0
+    i, j, value = np.array([0, 0, 1, 2, 5]), np.array([1, 2, 0, 5, 2]), np.array([0.5, 0.25, 0.5, 1.0, 1.0])
+    rows = community._Rows(n, np.concatenate([[0], np.cumsum(np.bincount(i, minlength=n))]), j, value, beta)
+    m = np.zeros((n, n))
+    m[i, j] = value
+    state = np.exp(beta * m) / np.exp(beta * m).sum(axis=1, keepdims=True)
+    p = m @ (state - 1 / np.exp(beta * m).sum(axis=1, keepdims=True))
+    for x in (0, 1, 2, 3, 5):
+        at, got = rows.p(x, 2)
+        assert at.tolist() == np.flatnonzero(p[x] > 1e-15).tolist() and np.allclose(got, p[x, at])
