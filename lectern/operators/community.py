@@ -276,8 +276,10 @@ def _unit_blend(notes: DataFrame) -> Blend:
     vec = np.asarray(pc.list_flatten(got["vec"].combine_chunks()).to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(got), -1) if len(got) else np.zeros((0, 1))
     paths = np.asarray(got["note_path"].to_pylist(), dtype=object)
     order = np.argsort(paths)
+    del got
     vec = vec[order]
-    return Blend(notes.sparkSession, paths[order], vec / (np.linalg.norm(vec, axis=1, keepdims=True) + 1e-10))
+    vec /= np.linalg.norm(vec, axis=1, keepdims=True) + 1e-10
+    return Blend(notes.sparkSession, paths[order], vec)
 
 
 def semantic_edges(notes: DataFrame, k: float | None = THRESHOLD_K, block_rows: int = 1024) -> DataFrame:
