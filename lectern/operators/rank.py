@@ -52,8 +52,8 @@ def link_stage(c: DataFrame, w: Weights) -> DataFrame:
     return c.withColumn("score", F.when(is_link_section(F.col("heading_path"), F.col("content"), w.link_density), F.col("score") * w.link_penalty).otherwise(F.col("score")))
 
 
-def convergence_stage(c: DataFrame, vectors: DataFrame, w: Weights, keys: DataFrame | None = None) -> DataFrame:
-    """Blend with the cosine to the note's centroid over 1 + the spread of its chunks' cosines; single-chunk notes stay.
+def with_value(c: DataFrame, vectors: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Adds value: the cosine to the note's centroid over 1 + the spread of its chunks' cosines; null for single-chunk notes.
 
     keys: a cheaper table with the candidates' query_id, note_path and qvec, so that earlier stages aren't planned twice.
     """
@@ -64,13 +64,23 @@ def convergence_stage(c: DataFrame, vectors: DataFrame, w: Weights, keys: DataFr
     spread = pairs.groupBy("query_id", "note_path").agg(F.stddev_pop(cosine(F.col("qvec"), F.col("vec"))).alias("sigma"))
     out = c.join(centroids, "note_path", "left").join(spread, ["query_id", "note_path"], "left")
     value = cosine(F.col("qvec"), F.col("centroid")) / (1 + F.col("sigma"))
-    blended = F.when(F.col("centroid").isNotNull(), (1 - w.convergence) * F.col("score") + w.convergence * value).otherwise(F.col("score"))
-    return out.withColumn("score", blended).drop("centroid", "chunks", "sigma")
+    return out.withColumn("value", F.when(F.col("centroid").isNotNull(), value)).drop("centroid", "chunks", "sigma")
 
 
-def context_stage(c: DataFrame, direct: DataFrame, near: DataFrame) -> DataFrame:
+def convergence_stage(c: DataFrame, vectors: DataFrame, w: Weights, keys: DataFrame | None = None) -> DataFrame:
+    """Blend with the note's value; notes without one stay. keys: as in with_value."""
+    blended = F.when(F.col("value").isNotNull(), (1 - w.convergence) * F.col("score") + w.convergence * F.col("value")).otherwise(F.col("score"))
+    return with_value(c, vectors, keys).withColumn("score", blended).drop("value")
+
+
+def with_boost(c: DataFrame, direct: DataFrame, near: DataFrame) -> DataFrame:
+    """Adds boost: 1.4 for notes in the context, 1.2 for those one link away, 1 for others."""
     boosts = direct.select("note_path", F.lit(1.4).alias("boost")).union(near.select("note_path", F.lit(1.2))).groupBy("note_path").agg(F.max("boost").alias("boost"))
-    return c.join(boosts, "note_path", "left").withColumn("score", F.col("score") * F.coalesce("boost", F.lit(1.0))).drop("boost")
+    return c.join(boosts, "note_path", "left").withColumn("boost", F.coalesce("boost", F.lit(1.0)))
+
+
+def context_stage(c: DataFrame, direct: DataFrame, near: DataFrame) -> DataFrame:
+    return with_boost(c, direct, near).withColumn("score", F.col("score") * F.col("boost")).drop("boost")
 
 
 def hotness(usage: DataFrame, as_of: Column, half_life_days: float = 30.0) -> DataFrame:
@@ -80,10 +90,14 @@ def hotness(usage: DataFrame, as_of: Column, half_life_days: float = 30.0) -> Da
     return agg.select("note_path", "uses", "last_used", ((1 + F.col("uses")) / (2 + F.col("uses")) * F.pow(F.lit(2.0), -age / half_life_days)).alias("hotness"))
 
 
+def with_hotness(c: DataFrame, usage: DataFrame, as_of: Column) -> DataFrame:
+    """Adds hotness, null for notes that weren't used."""
+    return c.join(hotness(usage, as_of).select("note_path", "hotness"), "note_path", "left")
+
+
 def hotness_stage(c: DataFrame, usage: DataFrame, as_of: Column, w: Weights) -> DataFrame:
-    hot = hotness(usage, as_of).select("note_path", "hotness")
     blended = F.when(F.col("hotness") > 0, (1 - w.hotness) * F.col("score") + w.hotness * F.col("hotness")).otherwise(F.col("score"))
-    return c.join(hot, "note_path", "left").withColumn("score", blended).drop("hotness")
+    return with_hotness(c, usage, as_of).withColumn("score", blended).drop("hotness")
 
 
 def query_entities(queries: DataFrame, triples: DataFrame) -> DataFrame:
@@ -110,21 +124,32 @@ def associated(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     return near.join(entities, ["query_id", "entity"], "left_anti")
 
 
-def cooccurrence_stage(c: DataFrame, queries: DataFrame, triples: DataFrame, pairs: DataFrame, w: Weights, keys: DataFrame | None = None) -> DataFrame:
-    """Multiply by 1 + w * raw / (raw + max), raw the summed association of the note's entities. keys: as in convergence_stage."""
+def with_association(c: DataFrame, queries: DataFrame, triples: DataFrame, pairs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Adds raw, the summed association of the note's entities, and top, the query's strongest; null without one. keys: as in with_value."""
     keys = c if keys is None else keys
     near = associated(query_entities(queries, triples), pairs)
     top = near.groupBy("query_id").agg(F.max("w").alias("top"))
     members = triples.select("note_path", F.col("subject").alias("entity")).union(triples.select("note_path", F.col("object"))).distinct()
     wanted = members.join(keys.select("note_path").distinct(), "note_path", "left_semi")
     raw = near.join(wanted, "entity").join(keys.select("query_id", "note_path").distinct(), ["query_id", "note_path"], "left_semi").groupBy("query_id", "note_path").agg(F.sum("w").alias("raw"))
-    boost = raw.join(top, "query_id").where("raw + top > 0").select("query_id", "note_path", (1 + w.cooccurrence * F.col("raw") / (F.col("raw") + F.col("top"))).alias("boost"))
-    return c.join(boost, ["query_id", "note_path"], "left").withColumn("score", F.col("score") * F.coalesce("boost", F.lit(1.0))).drop("boost")
+    known = raw.join(top, "query_id").where("raw + top > 0").select("query_id", "note_path", "raw", "top")
+    return c.join(known, ["query_id", "note_path"], "left")
 
 
-def error_stage(c: DataFrame, errors: DataFrame, least: int = 2) -> DataFrame:
+def cooccurrence_stage(c: DataFrame, queries: DataFrame, triples: DataFrame, pairs: DataFrame, w: Weights, keys: DataFrame | None = None) -> DataFrame:
+    """Multiply by 1 + w * raw / (raw + top). keys: as in with_value."""
+    boost = 1 + w.cooccurrence * F.col("raw") / (F.col("raw") + F.col("top"))
+    return with_association(c, queries, triples, pairs, keys).withColumn("score", F.col("score") * F.coalesce(boost, F.lit(1.0))).drop("raw", "top")
+
+
+def with_errors(c: DataFrame, errors: DataFrame, least: int = 2) -> DataFrame:
+    """Adds n, the note's errors, 0 if there are fewer than `least`."""
     counts = errors.groupBy("note_path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return c.join(counts, "note_path", "left").withColumn("score", F.col("score") / (1 + 0.1 * F.coalesce("n", F.lit(0)))).drop("n")
+    return c.join(counts, "note_path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def error_stage(c: DataFrame, errors: DataFrame, least: int = 2) -> DataFrame:
+    return with_errors(c, errors, least).withColumn("score", F.col("score") / (1 + 0.1 * F.col("n"))).drop("n")
 
 
 def by_score(*more: Column):
@@ -171,3 +196,12 @@ def hybrid(candidates: DataFrame, queries: DataFrame, e: Evidence, w: Weights =
         c = inhibition_stage(c, w)
     final = F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score(F.col("place"))))
     return c.withColumn("final", final).where(F.col("final") <= top_k).select("query_id", "chunk_id", "note_path", "score", F.col("final").cast("long").alias("place"))
+
+
+def signals(candidates: DataFrame, queries: DataFrame, e: Evidence, densities: tuple[float, ...]) -> DataFrame:
+    """query_id, note_path, pos, vec and what the stages look up, before any weight: score (the base), links (a flag for each density), value, boost, hotness, raw, top, n."""
+    c = base_scores(candidates).withColumn("links", F.array(*[is_link_section(F.col("heading_path"), F.col("content"), x) for x in densities]))
+    c = with_value(c.drop("content", "heading_path"), e.vectors, candidates)
+    c = with_hotness(with_boost(c, e.direct, e.near), e.usage, F.lit(e.as_of).cast("timestamp_ntz"))
+    c = with_errors(with_association(c, queries, e.triples, e.pairs, candidates), e.errors)
+    return c.select("query_id", "note_path", "pos", "vec", "score", "links", "value", "boost", "hotness", "raw", "top", "n")
