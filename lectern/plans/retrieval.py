@@ -21,7 +21,7 @@ _COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(li
 
 
 def _hits(spark: SparkSession, d: str, limit: int | None = 50, **kw) -> DataFrame:
-    return text_rank.bm25(t.chunks(spark, d), "chunk_id", "content", t.questions(spark, d).select("query_id", "text"), limit, **kw)
+    return text_rank.bm25(t.chunks(spark, d, by_id=True), "chunk_id", "content", t.questions(spark, d).select("query_id", "text"), limit, **kw)
 
 
 @query(sql("SELECT query_id, doc AS chunk_id, round(rank, 6) AS rank, pos FROM bm", **_BM))

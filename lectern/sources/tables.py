@@ -21,8 +21,10 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "notes").where("path IS NOT NULL").groupBy("path").agg(last).select("path", "r.title", "r.frontmatter", "r.content_hash", "r.updated_at")
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", "note_path", "heading_path", "content", "position").where("chunk_id IS NOT NULL").distinct()
+def chunks(spark: SparkSession, d: str, by_id: bool = False) -> DataFrame:
+    """Distinct chunks. by_id: shuffled once, by id, so that aggregates by chunk need no shuffle of their own."""
+    rows = table(spark, d, "chunks").select("chunk_id", "note_path", "heading_path", "content", "position").where("chunk_id IS NOT NULL")
+    return (rows.repartition("chunk_id") if by_id else rows).distinct()
 
 
 def usable(e: Column, dim: int = 64) -> Column:
