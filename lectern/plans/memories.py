@@ -108,7 +108,7 @@ _TAGS = {
 @query(sql("SELECT query_id, tag, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, tag) AS nth FROM weighed) WHERE nth <= 5", **_TAGS))
 def tag_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Tags for every memory from similar memories and the paths it names."""
-    m = t.memories(spark, d).where("content IS NOT NULL")
+    m = materialize(t.memories(spark, d).where("content IS NOT NULL").select("memory_id", "content", "tags"), "texts")  # made distinct once
     return memory.suggest_tags(m, m.select(F.col("memory_id").alias("query_id"), F.col("content").alias("text")))
 
 
